@@ -13,17 +13,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._merge import merge
+from ._merge import merge, outcome, pair
 from ._perfect_hash import PerfectHash
 
-#: Most distinct pre-tokens that a worker remembers, and characters cut at a time before a lookup.
-MEMO, CHUNK = 300_000, 1 << 20
+#: Most distinct pre-tokens that a worker remembers; characters of texts, and pre-tokens of a longer text, that share a lookup.
+MEMO, CHUNK, PIECES = 300_000, 1 << 20, 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,7 +50,11 @@ class Codec:
         self.raw = np.frombuffer(b"".join(tokens), np.uint8)
         self.size = np.fromiter(map(len, tokens), np.int64, top)
         self.begin = np.cumsum(self.size) - self.size
-        self.memo: dict[str, np.ndarray] = {}
+        # Every split of a token into two tokens is a merge of the token's rank.
+        self.one = [ranks.get(bytes((b,)), -1) for b in range(256)]
+        splits = ((rank, ranks.get(key[:k]), ranks.get(key[k:])) for key, rank in ranks.items() for k in range(1, len(key)))
+        self.merges = {pair(a, b): outcome(rank, rank) for rank, a, b in splits if a is not None and b is not None}
+        self.memo: dict[str, Sequence[int]] = {}
         self.cut = None
 
     def __getstate__(self) -> dict:
@@ -58,41 +63,43 @@ class Codec:
     def _learn(self, pieces: list[str]) -> None:
         """Puts the ids of new distinct pre-tokens into the memo."""
         keys = [p.encode() for p in pieces]
-        one = [bytes((b,)) for b in range(256)]
-        ranks = self.ranks
+        ranks, slots, memo, merges, one = self.ranks, self.slots, self.memo, self.merges, self.one
         for piece, key, slot in zip(pieces, keys, self.hash.slots(keys).tolist(), strict=True):
-            if self.slots[slot] == key:
-                found = [ranks[key]]
-            else:
-                found = [ranks[s] for s in merge([one[b] for b in key], lambda a, b: ranks.get(a + b))]
-            self.memo[piece] = np.array(found, np.uint32)
+            memo[piece] = (ranks[key],) if slots[slot] == key else merge([one[b] for b in key], merges)
 
     def encode(self, text: str | None) -> np.ndarray:
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text; short texts share a lookup, a long one takes several."""
         if self.cut is None:
             import regex
 
-            self.cut = regex.compile(self.pattern).finditer
-        out, pieces, size = [np.zeros(0, np.uint32)], [], 0
-        for m in self.cut(text or ""):
-            piece = m[0]
-            pieces.append(piece)
-            size += len(piece)
-            if size >= CHUNK:
-                out.append(self._ids(pieces))
-                pieces, size = [], 0
-        if pieces:
-            out.append(self._ids(pieces))
-        return np.concatenate(out)
-
-    def _ids(self, pieces: list[str]) -> np.ndarray:
+            self.cut = regex.compile(self.pattern)
+        group, size = [], 0
+        for text in texts:
+            text = text or ""
+            if size + len(text) > CHUNK:
+                yield from self._group(group)
+                group, size = [], 0
+            if len(text) > CHUNK:
+                found = (m[0] for m in self.cut.finditer(text))
+                yield np.concatenate([np.zeros(0, np.uint32), *(ids for part in batched(found, PIECES) for ids in self._group([part]))])
+            else:
+                group.append(self.cut.findall(text))
+                size += len(text)
+        yield from self._group(group)
+
+    def _group(self, group: list[Sequence[str]]) -> Iterator[np.ndarray]:
         memo = self.memo
-        new = [p for p in dict.fromkeys(pieces) if p not in memo]
+        new = set().union(*group).difference(memo)
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+            new = set().union(*group)
         if new:
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = list(dict.fromkeys(pieces))
-            self._learn(new)
-        return np.concatenate([memo[p] for p in pieces])
+            self._learn(list(new))
+        for pieces in group:
+            yield np.fromiter(chain.from_iterable(map(memo.__getitem__, pieces)), np.uint32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         sizes = self.size[ids]
@@ -118,8 +125,7 @@ def encoded(docs: DataFrame, codec: Codec) -> DataFrame:
         names = np.array([str(i) for i in range(len(coder.size))], object)
         for batch in batches:
             n, ids, back = [], [], []
-            for text in _texts(batch):
-                found = coder.encode(text)
+            for found in coder.encode_all(_texts(batch)):
                 n.append(len(found))
                 ids.append(hashlib.sha256(",".join(names[found].tolist()).encode()).hexdigest())
                 back.append(hashlib.sha256(coder.decode(found)).hexdigest())
@@ -138,8 +144,10 @@ def tokens(docs: DataFrame, codec: Codec) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 64):
                 part = batch.slice(at, 64)
-                found = [coder.encode(x) for x in _texts(part)]
+                found = list(coder.encode_all(_texts(part)))
+                ends = np.cumsum([0, *map(len, found)])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).astype(np.int32)))
                 text = pa.array([coder.decode(x).decode() for x in found], pa.string())
-                yield pa.record_batch({"doc_id": part["doc_id"], "ids": pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32())), "text": text})
+                yield pa.record_batch({"doc_id": part["doc_id"], "ids": ids, "text": text})
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._merge import merge
+from ._merge import merge, outcome, pair
 
 LIMIT = 2048
 #: Most distinct pre-tokens whose merged counts a worker remembers.
@@ -44,43 +44,45 @@ class Vocabulary:
         self.source = source
         data = json.loads(source)
         model = data["model"]
+        number = model["vocab"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks = {p: i for i, p in enumerate(pairs)}
+        self.merges = {pair(number[a], number[b]): outcome(rank, number[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.special = [t["content"] for t in data["added_tokens"]]
         self.pattern = data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.letters = byte_letters()
         self.bytes = {c: b for b, c in enumerate(self.letters)}
-        self.whole = self._proven(model["vocab"])
+        self.inner, self.last = [number[c] for c in self.letters], [number[c + END] for c in self.letters]
+        self.whole = self._proven(number)
 
     def _proven(self, vocabulary: dict[str, int]) -> set[str]:
         out = set()
-        for word in vocabulary:
+        for word, number in vocabulary.items():
             if word.endswith(END) and len(word) > len(END):
                 try:
                     text = bytes(self.bytes[c] for c in word[: -len(END)]).decode()
                 except (KeyError, UnicodeDecodeError):
                     continue
-                if self.merged(text) == [word]:
+                if self.merged(text) == [number]:
                     out.add(text)
         return out
 
-    def merged(self, piece: str) -> list[str]:
-        symbols = [self.letters[b] for b in piece.encode()]
-        symbols[-1] += END
-        ranks = self.ranks
-        return merge(symbols, lambda a, b: ranks.get((a, b)))
+    def merged(self, piece: str) -> list[int]:
+        raw = piece.encode()
+        inner = self.inner
+        return merge([*[inner[b] for b in raw[:-1]], self.last[raw[-1]]], self.merges)
 
 
 class _Memo(dict):
+    """Counts of pre-tokens: 1 for the proven ones from the start, merged at first sight for others."""
+
     def __init__(self, vocabulary: Vocabulary) -> None:
-        super().__init__()
+        super().__init__(dict.fromkeys(vocabulary.whole, 1))
         self.vocabulary = vocabulary
 
     def __missing__(self, piece: str) -> int:
-        if piece in self.vocabulary.whole:
-            return 1
-        if len(self) >= MEMO:
+        if len(self) >= MEMO + len(self.vocabulary.whole):
             self.clear()
+            self.update(dict.fromkeys(self.vocabulary.whole, 1))
         n = self[piece] = len(self.vocabulary.merged(piece))
         return n
 
@@ -108,8 +110,7 @@ class Counter:
 
     def _segment(self, text: str) -> int:
         found = self._by_library(text) if self.odd(text) else self.pieces(text.lower())
-        whole, memo = self.vocabulary.whole, self.memo
-        return sum([1 if p in whole else memo[p] for p in found])
+        return sum(map(self.memo.__getitem__, found))
 
     def _by_library(self, text: str) -> list[str]:
         """Pre-tokens of a text with unusual characters, normalised and cut by the library."""
