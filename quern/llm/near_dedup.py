@@ -120,6 +120,17 @@ def _unit(percent: int):
     return run
 
 
+def _buckets(keyed: DataFrame) -> DataFrame:
+    """The buckets of two or more classes of ``keyed`` (fp, n_shingles, band): band, n, star, star_n; equal buckets once.
+
+    Equal members are told by two independent xors of 64-bit hashes: no number of members overflows them.
+    """
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "fp")).alias(f"m{seed}") for seed in (1, 2)]
+    found = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("fp", "n_shingles")).alias("s"), *marks).filter("n > 1")
+    once = found.groupBy("n", "s", "m1", "m2").agg(F.min("band").alias("band"))
+    return once.select("band", "n", F.col("s.fp").alias("star"), F.col("s.n_shingles").alias("star_n"))
+
+
 def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = SIMILAR, t: int = T, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     stash = Stash(docs.sparkSession, "near")
@@ -135,9 +146,7 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = SIMIL
 
     # Buckets of two or more classes; a bucket that another band has as well counts once.
     keyed = classes.select("fp", "n_shingles", F.explode("bands").alias("band"))
-    mark = F.xxhash64("fp")
-    buckets = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("fp", "n_shingles")).alias("s"), F.bit_xor(mark).alias("m1"), F.sum(F.shiftright(mark, 8)).alias("m2")).filter("n > 1")
-    buckets = buckets.groupBy("n", "s", "m1", "m2").agg(F.min("band").alias("band")).select("band", "n", F.col("s.fp").alias("star"), F.col("s.n_shingles").alias("star_n"))
+    buckets = _buckets(keyed)
     members = stash.put(keyed.join(buckets, "band"), "members")
     alike = F.least("n_shingles", "star_n") * 100 >= F.greatest("n_shingles", "star_n") * percent
     tries = members.filter((F.col("fp") != F.col("star")) & alike).select(F.col("fp").alias("u"), F.col("star").alias("v")).distinct()

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, exact_dedup, language_id, secrets
-from quern.llm.near_dedup import near_duplicates
+from quern.llm.near_dedup import _buckets, near_duplicates
 
 
 def shingles(text):
@@ -58,6 +58,17 @@ def test_near(docs, rows, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def test_near_buckets_of_any_size(spark):
+    # Hashes whose sum as a long leaves 64 bits, in two equal buckets and a different one.
+    sets = spark.range(8000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("fp"), F.lit(9).cast("long").alias("n_shingles"))
+    sets = sets.filter(F.xxhash64("fp") > 1 << 62)
+    n, least = sets.count(), sets.agg(F.min("fp")).first()[0]
+    keyed = sets.withColumn("band", F.explode(F.array(*[F.lit(x).cast("long") for x in (5, 3)])))
+    keyed = keyed.union(sets.orderBy("fp").limit(n - 1).withColumn("band", F.lit(7).cast("long"))).union(sets.limit(1).withColumn("band", F.lit(8).cast("long")))
+    assert n > 1000
+    assert sorted(map(tuple, _buckets(keyed).collect())) == [(3, n, least, 9), (7, n - 1, least, 9)]
+
+
 def test_decontaminate(spark, docs, rows, empty):
     by_id = [x for _, x, *_ in rows]
     passage = " ".join(by_id[6].split()[100:140])
