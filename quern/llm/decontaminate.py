@@ -21,9 +21,11 @@ and kept by ``clean``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ from ._stash import Stash
 WIDTH, PERCENT = 5, 75
 #: Shingles of test items in a broadcast block (16 MB of hashes), and the most shingles of an item.
 BLOCK_SHINGLES = 2_000_000
+#: Tasks that the rows of one text are dealt to where hits of several blocks are merged.
+SALTS = 16
 
 
 class Index:
@@ -82,17 +86,17 @@ def _indexes(items: DataFrame, width: int, percent: int, block: int) -> Iterator
         yield Index([r["item_id"] for r in rows], [np.frombuffer(r["shingles"], U64) for r in rows], percent)
 
 
-def _search(docs: DataFrame, index: Index, width: int, key: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _search(docs: DataFrame, shared: Broadcast, width: int, key: str) -> DataFrame:
+    """The items of one broadcast index in each row of ``docs``, whose columns but the text are kept."""
+    kept = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = shared.value.ids
         for batch in batches:
             for at, hashes, places in shingle_sets(batch["text"], width):
                 found = [shared.value.search(hashes[a:b]) if b > a else [] for a, b in zip(places[:-1], places[1:], strict=True)]
-                yield pa.record_batch({
-                    "doc_id": batch["doc_id"].slice(at, len(found)), "n_shingles": pa.array(np.diff(places), pa.int64()),
+                yield pa.record_batch({f.name: batch[f.name].slice(at, len(found)) for f in kept} | {
+                    "n_shingles": pa.array(np.diff(places), pa.int64()),
                     "items": pa.array([[ids[i] for i, _ in x] for x in found], key_type),
                     "shared": pa.array([[n for _, n in x] for x in found], pa.list_(pa.int64())),
                 })
@@ -101,20 +105,37 @@ def _search(docs: DataFrame, index: Index, width: int, key: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     key_type = pa.list_(to_arrow_type(_parse_datatype_string(key)))
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, items array<{key}>, shared array<long>")
+    before = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in kept)
+    return docs.mapInArrow(run, f"{before}n_shingles long, items array<{key}>, shared array<long>")
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, items (ids found), shared (shingles of each), contaminated.
 
-    With more than one block of items there is one row per document row and block that
-    has a hit, and one more for each row of ``docs`` with the hits of the first block.
+    The first block of items is searched for every row. Hits of further blocks are written one block
+    after the other, a row per text that has any, and joined by the text's digest: equal texts have equal hits.
     """
     key = items.schema["item_id"].dataType.simpleString()
-    out = None
-    for index in _indexes(items, width, percent, block):
-        found = _search(docs, index, width, key)
-        out = found if out is None else out.union(found.filter(F.size("items") > 0))
+    context, stash = docs.sparkSession.sparkContext, Stash(docs.sparkSession, "hits")
+    rows = docs.select("doc_id", "text")
+    texts = docs.select(F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "text")
+    indexes = _indexes(items, width, percent, block)
+    first, more = context.broadcast(next(indexes)), []
+    for k, index in enumerate(indexes):
+        shared = context.broadcast(index)
+        hits = _search(texts, shared, width, key).filter(F.size("items") > 0).select("digest", F.arrays_zip("items", "shared").alias("hits"))
+        more.append(stash.put(hits.dropDuplicates(["digest"]), f"block-{k}"))
+        shared.unpersist()
+    if more:
+        # Rows are salted and hits repeated for each salt, so that copies of one text go to several tasks.
+        salted = rows.select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
+        hits = reduce(DataFrame.union, more).groupBy("digest").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+        hits = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = _search(salted, first, width, key).join(hits, ["digest", "salt"], "left")
+        both = [F.when(F.col("hits").isNull(), F.col(c)).otherwise(F.concat(c, f"hits.{c}")).alias(c) for c in ("items", "shared")]
+        out = found.select("doc_id", "n_shingles", *both)
+    else:
+        out = _search(rows, first, width, key)
     return out.withColumn("contaminated", F.size("items") > 0)
 
 

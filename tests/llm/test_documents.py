@@ -84,6 +84,12 @@ def test_decontaminate(spark, docs, rows, empty):
     clean = Counter(i for (i, _, hits), n in want.items() if not hits for _ in range(n))
     assert Counter(r.doc_id for r in decontaminate.clean(docs, benchmark).collect()) == clean
     assert Counter(r.doc_id for r in decontaminate.clean(docs, benchmark, block=20).collect()) == clean
+    # Items dealt into several blocks: still one row per document, with the hits of all blocks.
+    few = decontaminate.contamination(docs, benchmark, block=20).collect()
+    assert Counter((r.doc_id, r.n_shingles, tuple(sorted(map(str, r["items"])))) for r in few) == want
+    pairs = lambda rs: Counter((r.doc_id, r.n_shingles, r.contaminated, tuple(sorted((str(i), n) for i, n in zip(r["items"], r.shared, strict=True)))) for r in rs)
+    assert pairs(few) == pairs(found)
+    assert decontaminate.contamination(empty, benchmark, block=20).count() == 0
     assert decontaminate.contamination(empty, benchmark).count() == 0
     assert decontaminate.contamination(docs, benchmark.filter("false")).filter("contaminated").count() == 0
 
