@@ -84,15 +84,30 @@ def substr(s: Column, start: int, n: int | None = None) -> Column:
     return F.substring(s, begin + 1, F.lit(n))
 
 
+def _halves(v: Column) -> tuple[Column, Column]:
+    """A double as the exact sum of two of at most 26 bits (Veltkamp)."""
+    t = F.lit(134217729.0) * v
+    high = t - (t - v)
+    return high, v - high
+
+
 def round_half_away(x: Column, digits: int = 0) -> Column:
-    """The exact binary value rounded half away from zero, as a double: by the exact decimal expansion of x's scaled size."""
-    digits = max(digits, 0)
-    scale = F.lit(10.0**digits)
-    whole = F.floor(F.abs(x) * scale).cast("double")
-    # The product may have been rounded up to the tie; its sign against the tie is found on the unscaled value.
-    rest = F.abs(x) - (whole + 0.5) / scale
-    up = F.when(F.abs(x) * scale - whole == 0.5, rest >= 0).otherwise(F.abs(x) * scale - whole > 0.5)
-    return F.when(x.isNotNull(), F.signum(x) * (whole + F.when(up, 1.0).otherwise(0.0)) / scale)
+    """The exact binary value rounded half away from zero, as a double, for up to 22 digits; NaN and infinities stay.
+
+    The product with the scale is corrected by its exact error: a tie of the product counts as one only if the true
+    product is not below it. From a product of 2^53 on a double lies closer to its rounding than to any other double.
+    """
+    x, digits = x.cast("double"), max(digits, 0)
+    scale = 10.0**digits
+    m = F.abs(x)
+    p = m * scale
+    (xh, xl), (bh, bl) = _halves(m), _halves(F.lit(scale))
+    error = ((xh * bh - p) + xh * bl + xl * bh) + xl * bl
+    whole = F.floor(p).cast("double")
+    # An error of a half is possible from 2^52 on, where products are whole.
+    up = F.when(p - whole == 0.5, error >= 0).otherwise((p - whole > 0.5) | (error >= 0.5))
+    rounded = (whole + F.when(up, 1.0).otherwise(0.0)) / scale
+    return F.when(F.isnan(x) | (p >= 2.0**53), x).otherwise(F.when(x < 0, -rounded).otherwise(rounded))
 
 
 def hex_of(x: Column, kind: str) -> Column:

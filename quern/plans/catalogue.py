@@ -117,6 +117,10 @@ _add("q_scalar_min_max", f"SELECT p_partkey, CASE WHEN x IS NOT NULL THEN least(
     lambda t: _sizes(t).select("p_partkey", S.least(c("x"), c("p_size"), F.lit(3)).alias("lo"), S.greatest(c("x"), c("p_size"), F.lit(3)).alias("hi")))
 _add("q_round_half_away", "SELECT p_partkey, round(p_size / 8.0::DOUBLE, 2) AS a, round((p_size - 25) / 2.0::DOUBLE) AS b FROM part")(
     lambda t: t("part").select("p_partkey", S.round_half_away(c("p_size") / 8.0, 2).alias("a"), S.round_half_away((c("p_size") - 25) / 2.0).alias("b")))
+# Exact decimals of a double round half to even in format(); only true ties, odd eighths and quarters, are moved up before.
+_add("q_round_half_away_real", """SELECT p_partkey, format('{:.2f}', x + CASE WHEN (x * 8) % 2 = 1 THEN 0.001 ELSE 0 END)::DOUBLE AS a, format('{:.1f}', y + CASE WHEN (y * 4) % 2 = 1 THEN 0.01 ELSE 0 END)::DOUBLE AS b
+FROM (SELECT p_partkey, p_retailprice / 1000.0::DOUBLE AS x, p_retailprice::DOUBLE AS y FROM part)""")(
+    lambda t: t("part").select("p_partkey", S.round_half_away(c("p_retailprice") / 1000.0, 2).alias("a"), S.round_half_away(c("p_retailprice"), 1).alias("b")))
 _add("q_cross_class_compare", f"SELECT p_partkey, CASE WHEN x IS NOT NULL THEN 0 END::BIGINT AS equal, CASE WHEN x IS NOT NULL THEN 1 END::BIGINT AS below FROM {_SIZES}")(
     lambda t: _sizes(t).select("p_partkey", long(S.cross_class(c("x"), c("p_brand"), False)).alias("equal"), long(S.cross_class(c("x"), c("p_brand"), True)).alias("below")))
 _add("q_pk_point", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 100")(lambda t: t("orders").filter("o_orderkey = 100").select("o_orderkey", "o_totalprice"))
