@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import byte_bpe, decontaminate, exact_dedup, language_id, registry
+from quern.llm import byte_bpe, decontaminate, exact_dedup, language_id, near_dedup, registry
 from quern.llm._stash import Stash
-from quern.llm.near_dedup import near_duplicates
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +19,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates; rows without an id stay."""
-    dropped = near_duplicates(docs).filter("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti")
+    """Keeps one document of each group of near-duplicates, decided per row."""
+    return near_dedup.survivors(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
@@ -131,10 +131,33 @@ def _buckets(keyed: DataFrame) -> DataFrame:
     return once.select("band", "n", F.col("s.fp").alias("star"), F.col("s.n_shingles").alias("star_n"))
 
 
+def _content(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = SIMILAR, t: int = T, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    out = _placed(docs, width, percent, t, rows, block)
+    component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def survivors(docs: DataFrame, *, width: int = WIDTH, percent: int = SIMILAR, t: int = T, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """The row of each component with the least doc_id, in the columns of ``docs``; rows without shingles stay.
+
+    Null ids come last and ties go to the least content hash, so rows are told apart by id and text:
+    rows that repeat both stay together (``exact_dedup.survivors`` leaves none).
+    """
+    out = _placed(docs, width, percent, t, rows, block)
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("content") == F.col("least.content"))
+    dropped = out.filter(F.col("fp").isNotNull() & ~stays).select("doc_id", "content")
+    return docs.alias("d").join(dropped.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) & (_content(F.col("d.text")) == F.col("x.content")), "left_anti")
+
+
+def _placed(docs: DataFrame, width: int, percent: int, t: int, rows: int, block: int) -> DataFrame:
+    """One row per row of ``docs``: doc_id, content, n_shingles, fp and the least row of the component (x, doc_id, content)."""
     stash = Stash(docs.sparkSession, "near")
-    base = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"))
+    base = docs.select("doc_id", "text", _content(F.col("text")).alias("content"))
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
     signed = stash.put(base.mapInArrow(_signatures(width, t, rows), f"{kind}, content long, n_shingles long, fp binary, bands array<long>"), "signed")
 
@@ -191,10 +214,8 @@ def near_duplicates(docs: DataFrame, *, width: int = WIDTH, percent: int = SIMIL
     links = stash.put(links.union(more), "all-links")
     roots = components(links, stash, "all")
 
-    # The least id of each component, then of each class, then of each row.
-    ids = classes.select("fp", "doc_id").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = stash.put(ids.select("fp", "root").join(least, "root").select("fp", "component_id"), "named")
-    out = signed.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")
-    component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # The least row of each component, then of each class, then of each row.
+    ids = classes.select("fp", "doc_id", "content").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = ids.groupBy("root").agg(first.alias("least"))
+    named = stash.put(ids.select("fp", "root").join(least, "root").select("fp", "least"), "named")
+    return signed.select("doc_id", "content", "n_shingles", "fp").join(named, "fp", "left")

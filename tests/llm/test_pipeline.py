@@ -18,3 +18,24 @@ def test_stages_keep_columns_and_take_effect(spark, docs, tmp_path):
 def test_stages_on_empty_documents(spark, empty):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
+
+
+def test_near_decides_per_row(spark):
+    word = lambda k, n=60: " ".join(f"{k}{i}" for i in range(n))
+    groups = {
+        # The near copy of an older document shares its id with a clean row.
+        "older": [(1, word("a")), (2, word("a") + " more")], "clean": [(2, word("b"))],
+        # Two near copies that share the component's least id.
+        "tie": [(5, word("c")), (5, word("c") + " more"), (6, word("c") + " again")],
+        "no_id": [(None, word("d")), (None, word("d") + " more")], "some_id": [(None, word("e")), (9, word("e") + " more")],
+        "blank": [(3, None), (4, "")],
+    }
+    rows = [(i, x, g) for g, members in groups.items() for i, x in members]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, g string").repartition(3)
+    kept = corpus_pipeline.near(spark, docs, "")
+    assert kept.columns == docs.columns
+    found = [tuple(r) for r in kept.collect()]
+    assert set(found) <= set(rows)
+    ids = lambda g: sorted(i for i, _, h in found if h == g)
+    assert (ids("older"), ids("clean"), ids("tie"), ids("some_id"), ids("blank")) == ([1], [2], [5], [9], [3, 4])
+    assert len([1 for r in found if r[2] == "no_id"]) == 1
