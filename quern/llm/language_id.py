@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Hash buckets of n-grams, the longest n-gram, and the most characters handled at once.
 BUCKETS, LONGEST, SEGMENT = 1 << 15, 3, 1 << 19
-#: About how many labelled rows the fit reads (whole texts; all of them if there are fewer), and the most languages.
+#: About how many labelled rows the fit reads (whole texts; all of them if there are fewer), shared out by language, and the most languages.
 FIT_ROWS, MAX_LANGUAGES = 20_000, 512
 #: Below this score a document counts as rejected.
 LEAST_SCORE = 0.5
@@ -125,15 +125,28 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
+def _most(counts: list[int], rows: int) -> float:
+    """The share of a frequent language, so that it and all rows of the rarer ones add up to ``rows``."""
+    left = rows
+    for k, n in enumerate(sorted(counts)):
+        if n * (len(counts) - k) >= left:
+            return left / (len(counts) - k)
+        left -= n
+    return float(max(counts, default=0))
+
+
 def fit(docs: DataFrame, *, rows: int = FIT_ROWS) -> Model:
-    """Learns from text and lang of documents of folds 0 and 2."""
+    """Learns from text and lang of documents of folds 0 and 2: all of a rare language, a sample of a frequent one."""
     known = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 1))
     per_lang = known.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if len(per_lang) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     total = sum(r["count"] for r in per_lang)
     if total > rows:
-        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
+        most = _most([r["count"] for r in per_lang], rows)
+        bounds = {r["lang"]: int(most / r["count"] * (1 << 30)) for r in per_lang if r["count"] > most}
+        bound = F.coalesce(F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[F.col("lang")], F.lit(1 << 30))
+        known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) < bound)
     counts = known.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts["lang"].to_pylist()))
     if not langs:

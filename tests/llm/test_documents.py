@@ -108,6 +108,18 @@ def test_language(spark, docs, rows, empty):
     assert language_id.accepted(docs).columns == docs.columns
 
 
+def test_rare_language_is_learned_from_a_sample(spark):
+    rows = [(i, "the cat sat on the mat", "en") for i in range(3000)] + [(i, "der Hund und die Katze", "de") for i in range(3000, 5000)] + [(i, "água e pão são açúcar", "pt") for i in range(9000, 9004)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = docs.filter(language_id.fold(F.col("doc_id")) != 1)
+    assert known.filter("lang = 'pt'").count() > 0
+    model = language_id.fit(docs, rows=40)
+    assert model.langs == ["de", "en", "pt"]
+    assert model.predict(["pão e água"])[0] == ["pt"]
+    assert language_id._most([3, 2000, 1300], 40) == 18.5
+    assert language_id._most([10, 10], 5) == 2.5
+
+
 def test_long_text_in_pieces(monkeypatch):
     text = "the cat sat on the mat " * 50
     model = language_id.Model(["a", "b"], __import__("numpy").random.default_rng(1).normal(size=(language_id.BUCKETS, 2)).astype("f4"), __import__("numpy").zeros(2))
