@@ -59,11 +59,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word, and the n+1 places at which each text's words begin."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words begin and end, and the n+1 places at which each text's words begin."""
     size = len(raw)
     if not size:
-        return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     inside = ~_SPACE[raw]
     first = np.zeros(size + 1, bool)
     first[offsets] = True
@@ -72,7 +72,12 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     end = inside.copy()
     end[:-1] &= ~inside[1:] | first[1:-1]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    places = np.searchsorted(starts, offsets)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word, and the n+1 places at which each text's words begin."""
+    starts, ends, places = word_spans(raw, offsets)
     out = np.empty(len(starts), U64)
     i = 0
     while i < len(starts):

@@ -25,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shingles import text_bytes
 from ._stash import Stash
+from ._words import words
 
 END_ID = 2
-#: Ids after which a block is closed, and characters that the library encodes at a time.
-BLOCK, CHUNK = 1 << 17, 1 << 19
+#: Ids after which a block is closed.
+BLOCK = 1 << 17
 #: Lengths of the four ranks of each control byte.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
@@ -60,33 +62,27 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _encode(source, end: int, narrow: bool):
-    """Ids of each text with the end id, as little-endian bytes; 2 a piece where the vocabulary allows."""
-    kind = "<u2" if narrow else "<u4"
+def _binary(ids: np.ndarray, places: np.ndarray, narrow: bool) -> pa.Array:
+    """Runs of ids as little-endian bytes, 2 a piece where the vocabulary allows."""
+    width = 2 if narrow else 4
+    at = pa.array(places * width, pa.int64()).buffers()[1]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(places) - 1, [None, at, pa.py_buffer(ids.astype("<u2" if narrow else "<u4"))]).cast(pa.binary())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
 
-        library = Tokenizer.from_str(source.value)
-        library.no_truncation()
-        library.no_padding()
+def _ids(column: pa.Array, narrow: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows of a binary column, and the n+1 places at which rows begin."""
+    raw, offsets = text_bytes(column)
+    return np.frombuffer(raw.tobytes(), "<u2" if narrow else "<u4"), offsets // (2 if narrow else 4)
 
-        def flush(rows: list, texts: list[str], column: pa.Array, content: pa.Array) -> pa.RecordBatch:
-            found = library.encode_batch_fast(texts, add_special_tokens=False)
-            ids = [np.array([*e.ids, end], kind).tobytes() for e in found]
-            return pa.record_batch({"doc_id": column.slice(rows[0], len(rows)), "content": content.slice(rows[0], len(rows)), "ids": pa.array(ids, pa.binary())})
 
+def _encode(source, end: int, narrow: bool):
+    """Ids of each text with the end id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = words(source.value, end)
         for batch in batches:
-            rows, texts, size = [], [], 0
-            for i, x in enumerate(batch["text"]):
-                rows.append(i)
-                texts.append(x.as_py() or "")
-                size += len(texts[-1])
-                if size >= CHUNK:
-                    yield flush(rows, texts, batch["doc_id"], batch["content"])
-                    rows, texts, size = [], [], 0
-            if rows:
-                yield flush(rows, texts, batch["doc_id"], batch["content"])
+            ids, places = memo.encode(*text_bytes(batch["text"]))
+            yield pa.record_batch({"doc_id": batch["doc_id"], "content": batch["content"], "row": batch["row"], "ids": _binary(ids, places, narrow)})
 
     return run
 
@@ -95,10 +91,9 @@ def _tally(narrow: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch["ids"]:
-                seen = np.bincount(np.frombuffer(x.as_buffer(), "<u2" if narrow else "<u4"), minlength=len(total))
-                seen[: len(total)] += total
-                total = seen
+            seen = np.bincount(_ids(batch["ids"], narrow)[0], minlength=len(total))
+            seen[: len(total)] += total
+            total = seen
         at = np.flatnonzero(total)
         yield pa.record_batch({"id": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
@@ -122,8 +117,10 @@ def _blocks(rank_of, narrow: bool, id_type: pa.DataType):
 
         size = 0
         for batch in batches:
-            for doc, x in zip(batch["doc_id"].to_pylist(), batch["ids"], strict=True):
-                held.append(rank_of.value[np.frombuffer(x.as_buffer(), "<u2" if narrow else "<u4")])
+            ids, places = _ids(batch["ids"], narrow)
+            ranks = rank_of.value[ids]
+            for doc, a, b in zip(batch["doc_id"].to_pylist(), places[:-1].tolist(), places[1:].tolist(), strict=True):
+                held.append(ranks[a:b])
                 docs.append(doc)
                 size += len(held[-1])
                 if size >= BLOCK:
@@ -145,9 +142,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int = END_ID)
     narrow = max(end_id, Tokenizer.from_str(source).get_vocab_size()) < 1 << 16
     stash = Stash(spark, "ids")
     kind = docs.schema["doc_id"].dataType
-    base = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"))
+    # The row number only tells equal rows apart, so that many of them are dealt to several tasks.
+    base = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"), F.monotonically_increasing_id().alias("row"))
     encode = _encode(spark.sparkContext.broadcast(source), end_id, narrow)
-    ids = stash.put(base.mapInArrow(encode, f"doc_id {kind.simpleString()}, content long, ids binary"), "ids")
+    ids = stash.put(base.mapInArrow(encode, f"doc_id {kind.simpleString()}, content long, row long, ids binary"), "ids")
 
     # At most one row per vocabulary entry.
     ranked = ids.select("ids").mapInArrow(_tally(narrow), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").select("id").toArrow()["id"].to_numpy()
@@ -155,7 +153,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int = END_ID)
     rank_of[ranked] = np.arange(len(ranked))
     spark.createDataFrame(pa.table({"rank": np.arange(len(ranked)), "id": ranked.astype(np.int64)})).coalesce(1).write.mode("overwrite").parquet(f"{folder}/ranks")
 
-    ordered = ids.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("content")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "content")
+    key = (F.col("doc_id").asc_nulls_first(), F.col("content"), F.col("row"))
+    ordered = ids.repartitionByRange(*key).sortWithinPartitions(*key)
     from pyspark.sql.pandas.types import to_arrow_type
 
     made = _blocks(spark.sparkContext.broadcast(rank_of), narrow, to_arrow_type(kind))

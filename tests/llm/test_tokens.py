@@ -4,14 +4,16 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quern.llm import byte_bpe, registry, token_counts, token_files
+from quern.llm import _words, byte_bpe, registry, token_counts, token_files
 from quern.llm._perfect_hash import PerfectHash
+from quern.llm._shingles import text_bytes
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 library = Tokenizer.from_file(WORDS)
@@ -95,3 +97,36 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
         at += r.n_tokens
     token_files.write(empty, WORDS, f"file://{tmp_path}/b")
     assert token_files.read(spark, f"file://{tmp_path}/b").count() == 0
+
+
+memo = _words.Words(open(WORDS, encoding="utf-8").read(), 2)
+
+
+def encoded_by(held, texts):
+    ids, places = held.encode(*text_bytes(pa.array(texts, pa.string())))
+    return [ids[a:b].tolist() for a, b in zip(places[:-1], places[1:], strict=True)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.none() | TEXT, max_size=5))
+def test_words_equal_the_library(texts):
+    assert encoded_by(memo, texts) == [[*library.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+
+
+def test_words_in_small_pieces(monkeypatch, rows):
+    texts = [x for _, x, *_ in rows] + ["\0a a\0 a \0 " + "x" * 15 + " " + "x" * 16 + " " + "y" * 300 + " e \u0301e"]
+    want = [[*library.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+    for chunk, most in ((64, 50), (1 << 10, 3000), (1 << 22, 1 << 20)):
+        monkeypatch.setattr(_words, "CHUNK", chunk)
+        monkeypatch.setattr(_words, "MOST", most)
+        held = _words.Words(open(WORDS, encoding="utf-8").read(), 2)
+        assert encoded_by(held, texts) == want
+        assert encoded_by(held, texts) == want
+
+
+def test_other_tokenizers_take_whole_texts(rows):
+    source = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    assert _words.cuts_at_blanks(open(WORDS, encoding="utf-8").read()) and not _words.cuts_at_blanks(source)
+    other = Tokenizer.from_str(source)
+    texts = [x for _, x, *_ in rows]
+    assert encoded_by(_words.Words(source, 50256), texts) == [[*other.encode(x or "", add_special_tokens=False).ids, 50256] for x in texts]
