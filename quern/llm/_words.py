@@ -32,8 +32,9 @@ def cuts_at_blanks(source: str) -> bool:
     """Whether no token or special string of a tokenizers file spans a blank, and no normaliser looks across one."""
     data = json.loads(source)
     normal = data["normalizer"] or {}
-    kinds = [x["type"] for x in normal.get("normalizers", [normal])]
-    steps = (data["pre_tokenizer"] or {}).get("pretokenizers", [])
+    kinds = [x.get("type") for x in normal.get("normalizers", [normal])]
+    before = data["pre_tokenizer"] or {}
+    steps = before.get("pretokenizers", [before])
     cut = bool(steps) and steps[0].get("type") == "Split" and steps[0]["pattern"] == {"Regex": _PATTERN} and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
     rest = all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in steps[1:])
     marks = all(not t["lstrip"] and not t["rstrip"] and not any(c.isspace() for c in t["content"]) for t in data["added_tokens"])
