@@ -5,8 +5,9 @@ open-addressing table by numpy over all words of a batch; longer words are keyed
 more than ``KEPT`` bytes are forgotten after the batch. Memory is bounded by ``MOST`` words; when they are
 reached, the memo starts anew.
 
-Cutting at blanks is right only for tokenizers whose tokens never span one: ``cuts_at_blanks`` knows the
-configuration for which this holds. With any other, a text is one word.
+Cutting at blanks, and before a mark of ``_MARKS`` that follows an ASCII letter or digit, is right only for
+tokenizers whose tokens never span such a place: ``cuts_at_blanks`` knows the configuration for which this
+holds. With any other, a text is one word.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ CHUNK, BATCH = 4 << 20, 512
 _BITS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 #: Fixed value: a pattern of pre-tokens none of which holds white space.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ALNUM, _MARKS = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_MARKS[[ord(c) for c in ',.;:!?)"']] = True
 
 
 def cuts_at_blanks(source: str) -> bool:
@@ -37,7 +41,7 @@ def cuts_at_blanks(source: str) -> bool:
     steps = before.get("pretokenizers", [before])
     cut = bool(steps) and steps[0].get("type") == "Split" and steps[0]["pattern"] == {"Regex": _PATTERN} and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
     rest = all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in steps[1:])
-    marks = all(not t["lstrip"] and not t["rstrip"] and not any(c.isspace() for c in t["content"]) for t in data["added_tokens"])
+    marks = all(not t["lstrip"] and not t["rstrip"] and not any(c.isspace() or _MARKS[ord(c) % 256] for c in t["content"]) for t in data["added_tokens"])
     return kinds == ["NFC", "Replace", "Lowercase"] and cut and rest and marks
 
 
@@ -52,6 +56,9 @@ class Words:
         self.library.no_truncation()
         self.library.no_padding()
         self.blanks = cuts_at_blanks(source)
+        # The token of a single zero byte, if byte-level words have one.
+        zero = self.library.encode("\0", add_special_tokens=False).ids
+        self.mark = zero[0] if self.blanks and len(zero) == 1 else None
         self.end = end
         self._clear()
 
@@ -102,11 +109,29 @@ class Words:
             at[left] = (at[left] + 1) & mask
         self.used += len(low)
 
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and the number of each word's ids."""
+        if self.mark is None:
+            found = [e.ids for some in batched(words, BATCH) for e in self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())), size
+        # Words that are encoded in one text are told apart by the token of a byte that none of them has.
+        parts = [self.library.encode_batch_fast([(b" \0 ".join(some) + b" \0").decode()], add_special_tokens=False)[0].ids for some in batched(words, BATCH)]
+        ids = np.fromiter(chain.from_iterable(parts), np.uint32, sum(map(len, parts)))
+        ends = np.flatnonzero(ids == self.mark)
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+
     def _learn(self, words: list[bytes]) -> np.ndarray:
         """New slots with the ids of ``words``."""
-        found = [e.ids for some in batched(words, BATCH) for e in self.library.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+        if self.mark is not None and any(b"\0" in w for w in words):
+            plain, mark = [w for w in words if b"\0" not in w], self.mark
+            slots = dict(zip(plain, self._learn(plain).tolist(), strict=True))
+            self.mark = None
+            odd = [w for w in words if b"\0" in w]
+            slots |= zip(odd, self._learn(odd).tolist(), strict=True)
+            self.mark = mark
+            return np.array([slots[w] for w in words], np.int64)
+        ids, size = self._ids(words)
         first, at = len(self.size), len(self.pool)
         self.pool = np.concatenate((self.pool, ids))
         self.begin = np.concatenate((self.begin, at + np.cumsum(size) - size))
@@ -135,7 +160,7 @@ class Words:
     def _chunk(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.used + len(self.long) > MOST:
             self._clear()
-        starts, ends, places = word_spans(raw, offsets) if self.blanks else _texts(offsets)
+        starts, ends, places = _cut(raw, offsets) if self.blanks else _texts(offsets)
         length = ends - starts
         held = raw.tobytes()
         slots = np.empty(len(starts), np.int64)
@@ -177,6 +202,17 @@ class Words:
         return ids, np.diff(last, prepend=0)
 
 
+def _cut(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of words, cut before marks as well."""
+    starts, ends, _ = word_spans(raw, offsets)
+    more = np.zeros(len(raw) + 1, bool)
+    more[1:-1] = _MARKS[raw[1:]] & _ALNUM[raw[:-1]]
+    more[offsets] = False
+    at = np.flatnonzero(more)
+    starts, ends = np.sort(np.concatenate((starts, at))), np.sort(np.concatenate((ends, at)))
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
 def _texts(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans of whole texts; an empty one has none."""
     starts, ends = offsets[:-1], offsets[1:]
