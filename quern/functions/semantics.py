@@ -50,11 +50,31 @@ def simple_case(x: Column, branches: list[tuple[Column, Column]], otherwise: Col
     return out.otherwise(otherwise) if out is not None else otherwise
 
 
+def _shortest(x: Column) -> tuple[Column, Column, Column]:
+    """Digits without trailing zeros, decimal exponent and exponent part of the shortest text that reads as ``x`` again."""
+    forms = [F.format_string(f"%.{n}e", F.abs(x)) for n in (14, 15)]
+    kept = F.when(forms[0].cast("double") == F.abs(x), forms[0]).when(forms[1].cast("double") == F.abs(x), forms[1]).otherwise(F.format_string("%.16e", F.abs(x)))
+    digits = F.regexp_replace(F.replace(F.substring_index(kept, "e", 1), F.lit("."), F.lit("")), "0+$", "")
+    part = F.substring_index(kept, "e", -1)
+    return digits, part.cast("int"), part
+
+
+def _real_text(x: Column) -> Column:
+    digits, e, part = _shortest(x)
+    rest = F.substring(digits, F.lit(2), F.length(digits))
+    plain = F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substring(digits, e + 2, F.length(digits)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+    wide = F.concat(F.substring(digits, 1, 1), F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)), F.lit("e"), part)
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.when(e.between(0, 15), plain).when(e.between(-4, -1), small).otherwise(wide))
+
+
 def text_of(x: Column, kind: str) -> Column:
-    """A value as text: integral doubles below 1e16 print as integers."""
+    """A value as text: integral doubles below 1e16 print as integers, others with the fewest digits that read back, and with an exponent below 1e-4 and from 1e16 on."""
     if kind not in ("double", "float"):
         return x.cast("string")
-    return F.when((x == F.rint(x)) & (F.abs(x) < 1e16), x.cast("decimal(20,0)").cast("string")).otherwise(x.cast("string"))
+    odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    whole = F.when((x == F.rint(x)) & (F.abs(x) < 1e16), x.cast("decimal(20,0)").cast("string"))
+    return F.when(x.isNull(), F.lit(None)).otherwise(F.coalesce(odd, whole, _real_text(x)))
 
 
 def cross_class(a: Column, b: Column, answer: bool) -> Column:
@@ -91,17 +111,17 @@ def _halves(v: Column) -> tuple[Column, Column]:
     return high, v - high
 
 
-def round_half_away(x: Column, digits: int = 0) -> Column:
+def round_half_away(x: Column, digits: Column | int = 0) -> Column:
     """The exact binary value rounded half away from zero, as a double, for up to 22 digits; NaN and infinities stay.
 
     The product with the scale is corrected by its exact error: a tie of the product counts as one only if the true
     product is not below it. From a product of 2^53 on a double lies closer to its rounding than to any other double.
     """
-    x, digits = x.cast("double"), max(digits, 0)
-    scale = 10.0**digits
+    x = x.cast("double")
+    scale = F.lit(10.0 ** max(digits, 0)) if isinstance(digits, int) else F.pow(F.lit(10.0), digits)
     m = F.abs(x)
     p = m * scale
-    (xh, xl), (bh, bl) = _halves(m), _halves(F.lit(scale))
+    (xh, xl), (bh, bl) = _halves(m), _halves(scale)
     error = ((xh * bh - p) + xh * bl + xl * bh) + xl * bl
     whole = F.floor(p).cast("double")
     # An error of a half is possible from 2^52 on, where products are whole.
