@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import shutil
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import replace
 
@@ -79,25 +80,34 @@ class Database:
         if path == ":memory:":
             shared = self.spark.conf.get("spark.checkpoint.dir", None)
             self._own = tempfile.mkdtemp(prefix="quern-") if shared is None else None
-            path = self._own or f"{shared.rstrip('/')}/quern-{id(self)}-{self.spark.sparkContext.applicationId}"
+            path = self._own or f"{shared.rstrip('/')}/quern-{uuid.uuid4().hex}"
             self._passing = True
         else:
             self._passing = False
         self.path, self.store = path, Store(self.spark, path)
-        self.external: dict[str, compiler.Relation] = {}
+        self.external: dict[str, compiler.Relation | str] = {}
         self._before: dict[str, Table] | None = None
         self._closed = False
 
     # Catalog.
 
     def register(self, name: str, path: str) -> None:
-        """A read-only table over Parquet files; its scan order is that of files and their rows. Columns of types the dialect lacks are left out."""
-        df = self.spark.read.parquet(path)
-        columns = [(f.name, v) for f in df.schema if (v := V.typed(F.col(f"`{f.name}`"), f.dataType))]
-        row = F.col("_metadata.row_index")
-        one = len(df.inputFiles()) <= 1
-        order = row if one else F.struct(F.col("_metadata.file_path"), row)
-        self.external[name.lower()] = compiler.Relation(df, columns, order, row if one else None)
+        """A read-only table over Parquet files, which are looked at when a statement first names it.
+
+        Its scan order is that of files and their rows; columns of types that the dialect lacks are left out.
+        """
+        self.external[name.lower()] = path
+
+    def _external(self, key: str) -> compiler.Relation:
+        found = self.external[key]
+        if isinstance(found, str):
+            df = self.spark.read.parquet(found)
+            columns = [(f.name, v) for f in df.schema if (v := V.typed(F.col(f"`{f.name}`"), f.dataType))]
+            row = F.col("_metadata.row_index")
+            one = len(df.inputFiles()) <= 1
+            order = row if one else F.struct(F.col("_metadata.file_path"), row)
+            found = self.external[key] = compiler.Relation(df, columns, order, row if one else None)
+        return found
 
     def table(self, name: str) -> Table:
         found = self.store.tables.get(name.lower())
@@ -108,7 +118,7 @@ class Database:
     def _relation(self, name: str) -> compiler.Relation:
         key = name.lower()
         if key in self.external:
-            return self.external[key]
+            return self._external(key)
         table = self.store.tables[key] = self.store.written(self.table(name))
         return self.store.relation(table)
 

@@ -52,8 +52,10 @@ def simple_case(x: Column, branches: list[tuple[Column, Column]], otherwise: Col
 
 def _shortest(x: Column) -> tuple[Column, Column, Column]:
     """Digits without trailing zeros, decimal exponent and exponent part of the shortest text that reads as ``x`` again."""
-    forms = [F.format_string(f"%.{n}e", F.abs(x)) for n in (14, 15)]
-    kept = F.when(forms[0].cast("double") == F.abs(x), forms[0]).when(forms[1].cast("double") == F.abs(x), forms[1]).otherwise(F.format_string("%.16e", F.abs(x)))
+    full = F.format_string("%.16e", F.abs(x))
+    # Rounding a decimal text again can go astray by one, so that the cut one is tried as well.
+    forms = [F.format_string("%.14e", F.abs(x)), F.format_string("%.15e", F.abs(x)), F.regexp_replace(full, "[0-9]e", "e")]
+    kept = F.coalesce(*[F.when(f.cast("double") == F.abs(x), f) for f in forms], full)
     digits = F.regexp_replace(F.replace(F.substring_index(kept, "e", 1), F.lit("."), F.lit("")), "0+$", "")
     part = F.substring_index(kept, "e", -1)
     return digits, part.cast("int"), part

@@ -356,7 +356,8 @@ def _substr(args: list[Value]) -> Value:
         first = F.when(n < 0, F.greatest(begin + n, F.lit(0))).otherwise(begin)
         count = F.when(n < 0, begin - first).otherwise(F.least(n, size))
     # Places past the end of the text give the empty text; both fit an int once bounded by its size.
-    return Value(F.substring(s, F.least(first, size).cast("int") + 1, count.cast("int")), "text")
+    found = F.substring(s, F.least(first, size).cast("int") + 1, count.cast("int"))
+    return Value(F.when(start.isNotNull() if n is None else start.isNotNull() & n.isNotNull(), found), "text")
 
 
 def _length(args: list[Value]) -> Value:
@@ -371,8 +372,8 @@ def _abs(args: list[Value]) -> Value:
     return Value(F.abs(n.col), n.kind) if n.number else _of_numbers(n.col["kind"] == "integer", F.abs(n.col["exact"]), F.abs(n.col["num"]))
 
 
-def _trim(how: str):
-    return lambda args: Value(F.call_function(how, *([text(args[1]), text(args[0])] if len(args) > 1 else [text(args[0])])), "text")
+def _trim(strip):
+    return lambda args: Value(strip(text(args[0]), text(args[1])) if len(args) > 1 else strip(text(args[0])), "text")
 
 
 def _typeof(args: list[Value]) -> Value:
@@ -415,7 +416,7 @@ def _round(args: list[Value]) -> Value:
 SCALARS = {
     "ABS": (1, 1, _abs), "LENGTH": (1, 1, _length), "UPPER": (1, 1, lambda a: Value(F.upper(text(a[0])), "text")), "LOWER": (1, 1, lambda a: Value(F.lower(text(a[0])), "text")),
     "SUBSTR": (2, 3, _substr), "SUBSTRING": (2, 3, _substr), "COALESCE": (1, None, _coalesce), "IFNULL": (2, 2, _coalesce), "NULLIF": (2, 2, _nullif), "ROUND": (1, 2, _round),
-    "TRIM": (1, 2, _trim("btrim")), "LTRIM": (1, 2, _trim("ltrim")), "RTRIM": (1, 2, _trim("rtrim")),
+    "TRIM": (1, 2, _trim(F.trim)), "LTRIM": (1, 2, _trim(F.ltrim)), "RTRIM": (1, 2, _trim(F.rtrim)),
     "REPLACE": (3, 3, lambda a: Value(F.replace(text(a[0]), text(a[1]), text(a[2])), "text")), "INSTR": (2, 2, lambda a: Value(F.call_function("instr", text(a[0]), text(a[1])).cast("long"), "integer")),
     "TYPEOF": (1, 1, _typeof), "HEX": (1, 1, _hex), "MIN": (2, None, _extreme(S.least)), "MAX": (2, None, _extreme(S.greatest)),
 }

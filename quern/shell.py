@@ -157,14 +157,16 @@ class Shell:
         """The statements that create the tables and their indexes, UNIQUE constraints included."""
         for t in self._tables(name):
             primary = [c["name"] for c in t["columns"] if c["primary_key"]]
+            own = {f"{t['table']}_{c['name']}_key" for c in t["columns"]} & {i["name"] for i in t["indexes"] if i["origin"] == "UNIQUE"}
             lines = []
             for c in t["columns"]:
                 marks = [" PRIMARY KEY"] if primary == [c["name"]] else [" NOT NULL"] if c["not_null"] else []
                 marks += [f" DEFAULT {literal(c['default'])}"] if c["default"] is not None else []
+                marks += [" UNIQUE"] * (f"{t['table']}_{c['name']}_key" in own)
                 lines.append(f"  {named(c['name'])} {c['type']}{''.join(marks)}")
             if len(primary) > 1:
                 lines.append(f"  PRIMARY KEY ({', '.join(map(named, primary))})")
-            lines += [f"  UNIQUE ({', '.join(map(named, i['columns']))})" for i in t["indexes"] if i["origin"] == "UNIQUE"]
+            lines += [f"  UNIQUE ({', '.join(map(named, i['columns']))})" for i in t["indexes"] if i["origin"] == "UNIQUE" and i["name"] not in own]
             yield f"CREATE TABLE {named(t['table'])} (\n" + ",\n".join(lines) + "\n);"
             for i in t["indexes"]:
                 if i["origin"] == "CREATE INDEX":

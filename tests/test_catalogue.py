@@ -11,7 +11,7 @@ for file in os.listdir(BASE):
     con.execute(f"CREATE VIEW {file[:-8]} AS SELECT * FROM '{BASE}/{file}'")
 
 
-@pytest.mark.parametrize("name", catalogue.CATALOGUE)
+@pytest.mark.parametrize("name", catalogue.queries())
 def test_equals_sql(spark, name):
     found = catalogue.queries()[name](spark, BASE)
     result = con.execute(catalogue.oracle_sql()[name])
