@@ -23,8 +23,8 @@ def components(edges: DataFrame, stash: Stash, name: str) -> DataFrame:
     before, k = _sum(now), 0
     while before[0]:
         k += 1
-        after = stash.put(_small_star(_large_star(now)), f"{name}-{k}")
-        stash.drop(f"{name}-{k - 1}")
+        after = stash.put(_small_star(_large_star(now, stash, name), stash, name), f"{name}-{k}")
+        stash.drop(f"{name}-{k - 1}", f"{name}-large", f"{name}-small")
         state, now = _sum(after), after
         if state == before:
             break
@@ -37,16 +37,20 @@ def _sum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Joins each larger neighbour of a node to the least node of its neighbourhood."""
+def _large_star(edges: DataFrame, stash: Stash, name: str) -> DataFrame:
+    """Joins each larger neighbour of a node to the least node of its neighbourhood.
+
+    The least nodes are combined before they are shuffled and then written, so that both sides of the join are plain
+    exchanges, of which Spark splits a partition that one node with many neighbours makes large.
+    """
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = stash.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-large")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, stash: Stash, name: str) -> DataFrame:
     """Joins a node and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = stash.put(down.groupBy("u").agg(F.min("v").alias("m")), f"{name}-small")
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()

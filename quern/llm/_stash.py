@@ -16,10 +16,12 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where the setting is missing (tests)."""
+    """The shared folder that the session names; a temporary one only where the setting is missing and all runs in one process (tests)."""
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError(f"{SETTING} must name a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="quern-")
     spark.conf.set(SETTING, own)
     return own

@@ -8,6 +8,10 @@ digests of different texts never merge:
    that copies of one text go to as many as ``SALTS`` tasks;
 3. the at most ``SALTS`` salt winners of a text meet by (digest, text).
 
+Each row then finds its group by (digest, part), the part being a hash of its id: a group
+is repeated for the parts that its rows have, which the stages gather as bits of a number,
+so that the rows of one text go to several tasks on the way back as well.
+
 Defined results: a null text counts as empty, and all empty texts are one group; a
 null id is the least id and stays only in a group of null ids; repeated rows are
 copies, so rows that repeat the staying id are all marked ``kept`` (``survivors``
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from ._stash import Stash
 
 SALTS = 16
+#: Parts of a group on the way back to its rows; bits of an int.
+PARTS = 16
 
 
 def sha256(text: Column) -> Column:
@@ -38,16 +44,18 @@ def _rows(docs: DataFrame, digest: Callable[[Column], Column], salts: int, *more
 
 def duplicates(docs: DataFrame, *, digest: Callable[[Column], Column] = sha256, salts: int = SALTS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = _rows(docs, digest, salts, F.col("doc_id"))
-    local = rows.groupBy("d", "t", "salt").agg(F.max("doc_id").alias("k"), F.count("*").alias("n"))
-    groups = local.groupBy("d", "t").agg(F.max("k").alias("k"), F.sum("n").alias("n"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")
+    rows = _rows(docs, digest, salts, F.col("doc_id"), part.alias("part"))
+    parts = F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("part"))).alias("m")
+    local = rows.groupBy("d", "t", "salt").agg(F.max("doc_id").alias("k"), F.count("*").alias("n"), parts)
+    groups = local.groupBy("d", "t").agg(F.max("k").alias("k"), F.sum("n").alias("n"), F.bit_or("m").alias("m"))
     # The text is not needed any more where a digest stands for one text.
-    of_digest = groups.groupBy("d").agg(F.count("*").alias("texts"), F.max("k").alias("keep_id"), F.sum("n").alias("group_size"))
+    of_digest = groups.groupBy("d").agg(F.count("*").alias("texts"), F.max("k").alias("keep_id"), F.sum("n").alias("group_size"), F.bit_or("m").alias("m"))
     known = Stash(docs.sparkSession, "exact").put(of_digest, "groups")
-    named = rows.select("doc_id", "d", F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"))
-    if digest is sha256:
-        named = rows.select("doc_id", "d", F.lower(F.hex("d")).alias("text_sha256"))
-    out = named.join(known.filter("texts = 1"), "d")
+    spelled = F.lower(F.hex("d")) if digest is sha256 else F.sha2(F.col("t").cast("binary"), 256)
+    named = rows.select("doc_id", "d", "part", spelled.alias("text_sha256"))
+    used = F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.getbit(F.col("m"), i) == 1)
+    out = named.join(known.filter("texts = 1").withColumn("part", F.explode(used)), ["d", "part"])
     if not known.filter("texts > 1").isEmpty():
         shared = known.filter("texts > 1").select("d")
         mixed = groups.join(shared, "d", "left_semi").select("d", "t", F.col("k").alias("keep_id"), F.col("n").alias("group_size"))

@@ -7,8 +7,9 @@ Plan, with nothing unbounded in one task and no pair list of a group:
 2. Classes that share a band key form a bucket. Each bucket's least class is its
    star; every other member is verified against it on full sets.
 3. Connected components of the verified links leave most buckets in one piece. In
-   the others all pairs that no link connects yet are compared on full sets, in
-   blocks of at most ``BLOCK`` members a side.
+   the others all pairs that no link connects yet and whose sizes allow a link are
+   compared on full sets: members are dealt by classes of size, of which only equal
+   and neighbouring ones can link, into blocks of about ``BLOCK`` members a side.
 4. Components of all links; one row per input row comes back.
 
 Two sets of similarity ``s`` share a band with probability 1 - (1 - s^ROWS)^(T/ROWS):
@@ -24,6 +25,7 @@ input are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,8 @@ from ._sketch import bands, sketch
 from ._stash import Stash
 
 WIDTH, T, ROWS, BLOCK = 5, 128, 4, 256
+#: Tasks that the members of a bucket of more than a block are dealt to.
+SALTS = 16
 SIMILAR = 75
 
 
@@ -90,13 +94,13 @@ def _verify(percent: int):
 
 
 def _unit(percent: int):
-    """Links between members of a unit that no link connects yet; of sides 0 and 1 if it has two, else among all."""
+    """Links between members of a unit that no link connects yet: among all of one block, or across the sides of two."""
 
     def run(table: pa.Table) -> pa.Table:
         order = table.sort_by("n_shingles")
         nodes, roots, stars, sides = (order[c].to_pylist() for c in ("fp", "root", "star", "side"))
         sets = [np.frombuffer(x, U64) for x in order["shingles"].to_pylist()]
-        across = len(set(sides)) > 1
+        across = order["across"][0].as_py()
         up: dict[bytes, bytes] = {}
 
         def top(x: bytes) -> bytes:
@@ -120,6 +124,54 @@ def _unit(percent: int):
     return run
 
 
+def _units(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """The units that compare what the stars left apart, a row per unit and member.
+
+    ``members`` (band, salt, n, fp, root, star, n_shingles) of buckets of three or more. A bucket of at most ``block``
+    members is one unit. In others ``far`` members, those apart from the star's component, meet the near ones and each
+    other: sets of size classes that differ by more than one cannot link, and each class is dealt into blocks.
+    """
+    salts = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > block, SALTS - 1).otherwise(0))))
+    stars = salts(members.filter(F.col("fp") == F.col("star")).select("band", "n", F.col("root").alias("r0"))).drop("n")
+    # A class spans less than the ratio that a link allows: sizes that can link are in equal or neighbouring classes.
+    cls = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / percent) if percent < 100 else F.col("n_shingles")).cast("int")
+    outer = members.join(stars, ["band", "salt"]).withColumns({"far": F.col("root") != F.col("r0"), "cls": cls}).drop("r0")
+    counts = outer.filter(F.col("n") > block).groupBy("band", "salt", "n", "cls").agg(F.count_if("far").alias("f"), F.count_if(~F.col("far")).alias("m"))
+    counts = counts.groupBy("band", "n", "cls").agg(F.ceil(F.sum("f") / block).cast("int").alias("f"), F.ceil(F.sum("m") / block).cast("int").alias("m"))
+    # For each class, the blocks of itself and its neighbours; far ones of the class or none to compare with, none at all.
+    step = F.explode(F.array(*[F.lit(d) for d in (-1, 0, 1)]))
+    near = counts.withColumn("d", step).select("band", "n", (F.col("cls") - F.col("d")).alias("cls"), F.struct("d", "f", "m").alias("s"))
+    near = near.groupBy("band", "n", "cls").agg(F.map_from_entries(F.collect_list(F.struct("s.d", "s"))).alias("s"))
+    large = outer.filter(F.col("n") > block).join(salts(near).drop("n"), ["band", "salt", "cls"])
+    small = outer.filter(F.col("n") <= block)
+    small = small.join(small.filter("far").select("band").distinct(), "band")
+
+    def blocks(d: int, kind: str) -> Column:
+        return F.coalesce(F.col("s")[F.lit(d)][kind], F.lit(0))
+
+    def unit(kind: int, a: Column, b: Column, i: Column, j: Column, side: int | Column, across: bool | Column = True) -> Column:
+        side, across = (x if isinstance(x, Column) else F.lit(x) for x in (side, across))
+        return F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.alias("side"), across.alias("across"))
+
+    def each(n: Column, one) -> Column:
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda k: one(k - 1))).otherwise(F.array().cast(kind))
+
+    kind = "array<struct<kind:int,a:int,b:int,i:int,j:int,side:int,across:boolean>>"
+    c = F.col("cls")
+    mine = lambda which: F.pmod(F.xxhash64("fp"), F.greatest(blocks(0, which), F.lit(1))).cast("int")
+    as_near = F.concat(*[each(blocks(d, "f"), lambda j, d=d: unit(1, c, c + d, mine("m"), j, 0)) for d in (-1, 0, 1)])
+    as_far = F.concat(
+        *[each(blocks(d, "m"), lambda i, d=d: unit(1, c + d, c, i, mine("f"), 1)) for d in (-1, 0, 1)],
+        each(blocks(1, "f"), lambda j: unit(2, c, c + 1, mine("f"), j, 0)),
+        each(blocks(-1, "f"), lambda i: unit(2, c - 1, c, i, mine("f"), 1)),
+        each(blocks(0, "f"), lambda k: unit(2, c, c, F.least(k, mine("f")), F.greatest(k, mine("f")), F.when(k < mine("f"), 1).otherwise(0), k != mine("f"))),
+    )
+    zero = F.lit(0)
+    parts = [large.withColumn("k", F.explode(F.when(F.col("far"), as_far).otherwise(as_near))), small.withColumn("k", unit(0, zero, zero, zero, zero, 0, False))]
+    columns = [F.col(x) for x in ("band", "k.*", "fp", "root", "star", "n_shingles")]
+    return parts[0].select(*columns).union(parts[1].select(*columns))
+
+
 def _buckets(keyed: DataFrame) -> DataFrame:
     """The buckets of two or more classes of ``keyed`` (fp, n_shingles, band): band, n, star, star_n; equal buckets once.
 
@@ -169,8 +221,9 @@ def _placed(docs: DataFrame, width: int, percent: int, t: int, rows: int, block:
 
     # Buckets of two or more classes; a bucket that another band has as well counts once.
     keyed = classes.select("fp", "n_shingles", F.explode("bands").alias("band"))
-    buckets = _buckets(keyed)
-    members = stash.put(keyed.join(buckets, "band"), "members")
+    buckets = stash.put(_buckets(keyed), "buckets")
+    salt = F.when(F.col("n") > block, F.pmod(F.xxhash64("fp"), F.lit(SALTS))).otherwise(0).cast("int")
+    members = stash.put(keyed.join(buckets, "band").withColumn("salt", salt), "members")
     alike = F.least("n_shingles", "star_n") * 100 >= F.greatest("n_shingles", "star_n") * percent
     tries = members.filter((F.col("fp") != F.col("star")) & alike).select(F.col("fp").alias("u"), F.col("star").alias("v")).distinct()
 
@@ -189,28 +242,8 @@ def _placed(docs: DataFrame, width: int, percent: int, t: int, rows: int, block:
 
     # What the stars left apart.
     placed = members.filter("n > 2").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = stash.put(placed, "placed")
-    mine = F.col("root") == F.col("r0")
-    stars = placed.filter(F.col("fp") == F.col("star")).select("band", F.col("root").alias("r0"))
-    outer = placed.join(stars, "band").withColumn("far", ~mine)
-    sizes = outer.groupBy("band").agg(F.count_if("far").alias("n_far"), F.count_if(~F.col("far")).alias("n_near")).filter("n_far > 0")
-    parts = lambda c: F.ceil(F.col(c) / block).cast("int")
-    dealt = outer.join(sizes, "band").withColumns({"pf": parts("n_far"), "pn": parts("n_near")})
-    at = lambda c: F.pmod(F.xxhash64("fp"), F.col(c)).cast("int")
-    small = F.col("n") <= block
-    seq = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    unit = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
-    units = (
-        F.when(small, F.array(unit(0, F.lit(0), F.lit(0), 0)))
-        .when(~F.col("far"), F.transform(seq("pf"), lambda j: unit(1, at("pn"), j, 0)))
-        .otherwise(F.concat(
-            F.transform(seq("pn"), lambda i: unit(1, i, at("pf"), 1)),
-            # Blocks of the far side with each other: the lower one is side 0; a block with itself has one side.
-            F.transform(seq("pf"), lambda j: F.when(j < at("pf"), unit(2, j, at("pf"), 1)).otherwise(unit(2, at("pf"), j, 0))),
-        ))
-    )
-    spread = dealt.select("band", "fp", "root", "star", "n_shingles", F.explode(units).alias("k")).select("band", "k.*", "fp", "root", "star", "n_shingles")
-    more = spread.join(sets, "fp").groupBy("band", "kind", "i", "j").applyInArrow(_unit(percent), "u binary, v binary")
+    spread = _units(stash.put(placed, "placed"), percent, block)
+    more = spread.join(sets, "fp").groupBy("band", "kind", "a", "b", "i", "j").applyInArrow(_unit(percent), "u binary, v binary")
     links = stash.put(links.union(more), "all-links")
     roots = components(links, stash, "all")
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -58,6 +59,38 @@ def test_near(docs, rows, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def test_near_in_blocks(spark):
+    # Families that share boilerplate: one bucket holds several components, of which some hide behind the star.
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(40)]
+    texts = []
+    for family in range(9):
+        own = base[: 22 + family] + [f"f{family}x{i}" for i in range(18 + 3 * family)]
+        for _ in range(5):
+            mine = list(own)
+            mine[rng.randrange(len(mine))] = f"y{rng.random()}"
+            texts.append(" ".join(mine))
+    sets = [shingles(x) for x in texts]
+    up = list(range(len(sets)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                up[max(x, y)] = min(x, y)
+    want = {i: top(i) for i in range(len(texts))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert 5 < len(set(want.values())) < len(texts)
+    # One row a band makes buckets of nearly everything.
+    for block, rows in ((2, 1), (3, 4), (7, 1), (256, 1)):
+        assert {r.doc_id: r.component_id for r in near_duplicates(docs, block=block, rows=rows, t=16 if rows == 1 else 128).collect()} == want, (block, rows)
+
+
 def test_near_buckets_of_any_size(spark):
     # Hashes whose sum as a long leaves 64 bits, in two equal buckets and a different one.
     sets = spark.range(8000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("fp"), F.lit(9).cast("long").alias("n_shingles"))
