@@ -6,7 +6,7 @@ are merged with a heap over linked bytes. Decoding gathers the tokens' bytes by
 
 Defined results: a null text encodes as an empty one; both give no ids; repeated rows
 get equal answers; an empty table gives an empty result; other columns are not read
-by ``encoded`` and not touched by ``with_tokens``.
+by ``encoded`` and ``tokens``.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from ._perfect_hash import PerfectHash
 
 #: Most distinct pre-tokens that a worker remembers; characters of texts, and pre-tokens of a longer text, that share a lookup.
 MEMO, CHUNK, PIECES = 300_000, 1 << 20, 200_000
+#: Characters of the longest pre-token that is remembered beyond the texts at hand.
+LONGEST = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -100,6 +102,9 @@ class Codec:
             self._learn(list(new))
         for pieces in group:
             yield np.fromiter(chain.from_iterable(map(memo.__getitem__, pieces)), np.uint32)
+        for piece in new:
+            if len(piece) > LONGEST:
+                del memo[piece]
 
     def decode(self, ids: np.ndarray) -> bytes:
         sizes = self.size[ids]

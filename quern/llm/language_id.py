@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 
 #: Hash buckets of n-grams, the longest n-gram, and the most characters handled at once.
 BUCKETS, LONGEST, SEGMENT = 1 << 15, 3, 1 << 19
+#: Scores that are held at once, one for each code and language.
+SCORES = 1 << 21
 #: About how many labelled rows the fit reads (whole texts; all of them if there are fewer), shared out by language, and the most languages.
 FIT_ROWS, MAX_LANGUAGES = 20_000, 512
-#: Below this score a document counts as rejected.
-LEAST_SCORE = 0.5
+#: Below this score a document counts as rejected, and so does a text of at least FEW n-grams whose mean log probability
+#: lies more than MARGIN below what the chosen language's own n-grams have: it is in no learned language.
+LEAST_SCORE, MARGIN, FEW = 0.5, 3.5, 30
 UNKNOWN = "und"
 _letter: list[np.ndarray] = []
 
@@ -37,55 +40,59 @@ def letters() -> np.ndarray:
     return _letter[0]
 
 
-def segments(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Texts as runs of lower-cased code points, others than letters as blanks: (owners, their beginnings, codes).
+def segments(texts: list[str | None], most: int = SEGMENT) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts as runs of lower-cased code points, others than letters as blanks: (owners, their beginnings, codes, least).
 
-    A text longer than SEGMENT comes in pieces that overlap by LONGEST - 1.
+    A text longer than ``most`` comes in pieces that overlap by LONGEST - 1. At a place of a piece with ``least`` or
+    more codes left n-grams begin; those at its end begin in the next piece again and count there.
     """
     owners: list[int] = []
     parts: list[np.ndarray] = []
+    least: list[int] = []
     size = 0
 
-    def flush() -> tuple[list[int], np.ndarray, np.ndarray]:
-        return owners, np.cumsum([0] + [len(p) for p in parts]), np.concatenate(parts)
+    def flush() -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+        return owners, np.cumsum([0] + [len(p) for p in parts]), np.concatenate(parts), np.array(least)
 
     for i, text in enumerate(texts):
         if not text:
             continue
         codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = np.where(letters()[codes], codes, np.uint32(32))
-        for at in range(0, max(1, len(codes) - LONGEST + 1), SEGMENT):
-            piece = codes[at : at + SEGMENT + LONGEST - 1]
+        for at in range(0, max(1, len(codes) - LONGEST + 1), most):
+            piece = codes[at : at + most + LONGEST - 1]
             owners.append(i)
             parts.append(piece)
+            least.append(LONGEST if at + most < len(codes) - LONGEST + 1 else 1)
             size += len(piece)
-            if size >= SEGMENT:
+            if size >= most:
                 yield flush()
-                owners, parts, size = [], [], 0
+                owners, parts, least, size = [], [], [], 0
     if parts:
         yield flush()
 
 
-def grams(begins: np.ndarray, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n: the bucket of the n-gram at every place, and whether it ends within its text."""
+def grams(begins: np.ndarray, codes: np.ndarray, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n: the bucket of the n-gram at every place, and whether it counts there."""
     left = np.repeat(begins[1:], np.diff(begins)) - np.arange(len(codes))
+    need = np.repeat(least, np.diff(begins))
     mixed = np.zeros(len(codes), np.uint32)
     for n in range(1, LONGEST + 1):
         mixed[: len(codes) - n + 1] = (mixed[: len(codes) - n + 1] ^ codes[n - 1 :]) * np.uint32(0x9E3779B1)
         x = mixed + np.uint32(n * 0x85EBCA6B % 2**32)
         x ^= x >> np.uint32(15)
         x *= np.uint32(0x2C1B3C6D)
-        yield (x >> np.uint32(17)).astype(np.int32), left >= n
+        yield (x >> np.uint32(17)).astype(np.int32), left >= np.maximum(need, n)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = batch["lang"].to_pylist()
-        for owners, begins, codes in segments(batch["text"].to_pylist()):
+        for owners, begins, codes, least in segments(batch["text"].to_pylist()):
             kinds = sorted({langs[i] for i in owners})
             place = np.repeat([kinds.index(langs[i]) for i in owners], np.diff(begins))
-            for found, whole in grams(begins, codes):
+            for found, whole in grams(begins, codes, least):
                 seen = np.bincount((place * BUCKETS + found)[whole], minlength=len(kinds) * BUCKETS).reshape(-1, BUCKETS)
                 for k, row in zip(kinds, seen, strict=True):
                     total[k] = total.get(k, 0) + row
@@ -99,25 +106,30 @@ class Model:
 
     def __init__(self, langs: list[str], logs: np.ndarray, prior: np.ndarray) -> None:
         self.langs, self.logs, self.prior = langs, logs, prior
+        self.usual = (np.exp(logs, dtype=np.float64) * logs).sum(axis=0)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        sums = np.zeros((len(texts), len(self.langs))) + self.prior
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores, and which texts are to be rejected."""
+        if not self.langs:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+        likely = np.zeros((len(texts), len(self.langs)))
+        n = np.zeros(len(texts), np.int64)
         spoken = np.zeros(len(texts), bool)
-        for owners, begins, codes in segments(texts) if self.langs else ():
+        for owners, begins, codes, least in segments(texts, max(LONGEST, min(SEGMENT, SCORES // len(self.langs)))):
             starts = begins[:-1]
             part = np.zeros((len(owners), len(self.langs)))
-            for found, whole in grams(begins, codes):
+            for found, whole in grams(begins, codes, least):
                 score = self.logs[found]
-                # In the pieces after a text's first one the shorter n-grams of the overlap count twice: harmless.
                 score[~whole] = 0
-                part += np.add.reduceat(score, starts, axis=0)
-            np.add.at(sums, owners, part)
+                part += np.add.reduceat(score, starts, axis=0, dtype=np.float64)
+                np.add.at(n, owners, np.add.reduceat(whole, starts, dtype=np.int64))
+            np.add.at(likely, owners, part)
             np.logical_or.at(spoken, owners, np.logical_or.reduceat(codes != 32, starts))
-        if not self.langs:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        sums = likely + self.prior
         best = sums.argmax(axis=1)
-        chance = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-        return [self.langs[b] if s else UNKNOWN for b, s in zip(best, spoken, strict=True)], np.where(spoken, chance, 0.0)
+        chance = np.where(spoken, 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
+        foreign = (n >= FEW) & (likely[np.arange(len(texts)), best] < n * (self.usual[best] - MARGIN))
+        return [self.langs[b] if s else UNKNOWN for b, s in zip(best, spoken, strict=True)], chance, ~spoken | (chance < LEAST_SCORE) | foreign
 
 
 def fold(doc_id: Column) -> Column:
@@ -165,12 +177,11 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, score = shared.value.predict(batch["text"].to_pylist())
-            yield pa.record_batch({"doc_id": batch["doc_id"], "lang_pred": pa.array(langs, pa.string()), "score": pa.array(score, pa.float64())})
+            langs, score, out = shared.value.predict(batch["text"].to_pylist())
+            yield pa.record_batch({"doc_id": batch["doc_id"], "lang_pred": pa.array(langs, pa.string()), "score": pa.array(score, pa.float64()), "rejected": pa.array(out, pa.bool_())})
 
-    found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
-    rejected = (F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_SCORE)
-    return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", rejected.alias("rejected"))
+    found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -179,7 +190,6 @@ def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, score = shared.value.predict(batch["text"].to_pylist())
-            yield batch.filter(pa.array([k != UNKNOWN and s >= LEAST_SCORE for k, s in zip(langs, score, strict=True)], pa.bool_()))
+            yield batch.filter(pa.array(~shared.value.predict(batch["text"].to_pylist())[2], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from ._merge import merge, outcome, pair
 
 LIMIT = 2048
-#: Most distinct pre-tokens whose merged counts a worker remembers.
-MEMO = 200_000
+#: Most distinct pre-tokens whose merged counts a worker remembers, and the characters of the longest of them.
+MEMO, LONGEST = 200_000, 64
 END = "</w>"
 #: Characters of which NFC keeps every text and lower-casing needs no context.
 PLAIN = r"[^\t\n\r\x20-\x7E\xA1-\xAC\xAE-ɏ‐-‧€]"
@@ -83,7 +83,9 @@ class _Memo(dict):
         if len(self) >= MEMO + len(self.vocabulary.whole):
             self.clear()
             self.update(dict.fromkeys(self.vocabulary.whole, 1))
-        n = self[piece] = len(self.vocabulary.merged(piece))
+        n = len(self.vocabulary.merged(piece))
+        if len(piece) <= LONGEST:
+            self[piece] = n
         return n
 
 

@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, exact_dedup, language_id, secrets
@@ -153,12 +155,48 @@ def test_rare_language_is_learned_from_a_sample(spark):
     assert language_id._most([10, 10], 5) == 2.5
 
 
-def test_long_text_in_pieces(monkeypatch):
-    text = "the cat sat on the mat " * 50
-    model = language_id.Model(["a", "b"], __import__("numpy").random.default_rng(1).normal(size=(language_id.BUCKETS, 2)).astype("f4"), __import__("numpy").zeros(2))
-    whole = model.predict([text, None, text])
-    monkeypatch.setattr(language_id, "SEGMENT", 64)
-    assert model.predict([text, None, text])[0] == whole[0]
+def test_language_against_brute_force(monkeypatch):
+    # Buckets so many that no two n-grams of these texts share one would be needed for string counts: the bucket function is taken as given.
+    def buckets(text):
+        codes = [c if c.isalpha() else " " for c in text.lower()]
+        for n in range(1, language_id.LONGEST + 1):
+            for i in range(len(codes) - n + 1):
+                mixed = 0
+                for c in codes[i : i + n]:
+                    mixed = (mixed ^ ord(c)) * 0x9E3779B1 % 2**32
+                x = (mixed + n * 0x85EBCA6B % 2**32) % 2**32
+                x ^= x >> 15
+                yield (x * 0x2C1B3C6D % 2**32) >> 17
+
+    train = {"a": ["the cat sat on the mat", "a dog's day"], "b": ["der Hund und die Katze", "Ünd"]}
+    counts = {k: Counter(g for t in texts for g in buckets(t)) for k, texts in train.items()}
+    logs = np.array([[np.log((counts[k][g] + 0.5) / (sum(counts[k].values()) + 0.5 * language_id.BUCKETS)) for k in "ab"] for g in range(language_id.BUCKETS)]).astype(np.float32)
+    texts = ["the hund sat", None, "die Katze on the mat " * 9, "x", "123", "und the cat", "Ωμέγα και άλφα είναι γράμματα"]
+    for segment in (language_id.SEGMENT, 64, 7, 3):
+        monkeypatch.setattr(language_id, "SEGMENT", segment)
+        found = {k: language_id._count(iter([pa.record_batch({"text": t, "lang": [k] * len(t)})])) for k, t in train.items()}
+        assert {k: {b: n for batch in bs for b, n in zip(batch["bucket"].to_pylist(), batch["n"].to_pylist(), strict=True)} for k, bs in found.items()} == counts
+        langs, score, out = language_id.Model(["a", "b"], logs, np.log([0.4, 0.6])).predict(texts)
+        for text, lang, chance, rejected in zip(texts, langs, score, out, strict=True):
+            grams = list(buckets(text or ""))
+            likely = np.array([sum(float(logs[g, j]) for g in grams) for j in range(2)])
+            sums = likely + np.log([0.4, 0.6])
+            best = int(sums.argmax())
+            spoken = any(c.isalpha() for c in text or "")
+            assert lang == ("ab"[best] if spoken else "und")
+            assert abs(chance - (1 / np.exp(sums - sums.max()).sum() if spoken else 0)) < 1e-4
+            usual = float((np.exp(logs[:, best].astype(float)) * logs[:, best]).sum())
+            assert rejected == (not spoken or chance < 0.5 or len(grams) >= language_id.FEW and likely[best] < len(grams) * (usual - language_id.MARGIN))
+
+
+def test_texts_in_no_learned_language_are_rejected(spark):
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(real)
+    rng = random.Random(1)
+    noise = ["".join(rng.choice(alphabet) for _ in range(300)) for alphabet in ("abcdefghijklmnopqrstuvwxyz ", "абвгдежзийклмноп ") for _ in range(20)]
+    assert model.predict(noise)[2].all() and model.predict(["zażółć gęślą jaźń prosimy czytać polski tekst w tym miejscu"])[2].all()
+    texts = [r.text for r in real.select("text").collect() if r.text and any(c.isalpha() for c in r.text)]
+    assert model.predict(texts)[2].sum() == 0
 
 
 def reference_spans(text):
