@@ -1,95 +1,85 @@
-"""Secret scans by trigram queries, on built-in functions only.
+"""Secret scans by a trigram inverted index, on built-in functions only.
 
-Each rule's regex yields a Boolean trigram query: an AND of ORs of three-letter strings
-without which no text can match. The inverted index over these trigrams is partitioned
-by document: the posting lists of a document's partition are its rows' bits, one per
-trigram of the rules, so intersecting postings is bit arithmetic and needs no shuffle.
-Documents that satisfy a rule's query are verified with the regex; a rule without a
-mandatory trigram has an empty query and scans every document.
+Each rule's regex is turned into a Boolean trigram query (``_trigrams``). The index maps each trigram that a query names
+to the posting list of the texts that have it; texts are named by a 64-bit hash, and lists are kept for blocks of about
+``BLOCK`` texts, so that none grows with the corpus. Per block, the lists of a query are intersected and united; what is
+left are the rule's candidates, which are verified with the regex. Two texts of one hash share candidates: that costs a
+verification and loses nothing. A rule without a mandatory trigram has an empty query and scans every document.
 
-Defined results: null counts as empty, an empty text has no spans; repeated rows get
-equal answers; an empty table gives an empty result; other columns are not read.
+Candidates meet their documents by a broadcast while they are few (``MOST_SENT``), else by a join whose keys are salted,
+since copies of one text may be a large share of the rows.
+
+Defined results: null counts as empty, an empty text has no spans; repeated rows get equal answers; an empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import product
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._stash import Stash
+from ._trigrams import Query, trigram_query
+
+#: Texts of a block of posting lists, candidates (12 bytes and their rules' numbers) that are broadcast at most, and salts beyond that.
+BLOCK, MOST_SENT, SALTS = 8192, 1_000_000, 16
+
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: ``words`` are the literal alternatives that every match has ('?' after an optional letter)."""
+    """A kind of secret; of its matches those count whose ``group`` has ``least`` characters or more."""
 
     kind: str
     regex: str
-    words: tuple[str, ...] = ()
-    #: The group whose length decides, and the least length.
     group: int = 0
     least: int = 1
-    any_case: bool = False
-
-    def query(self) -> list[list[str]]:
-        """An OR of ANDs: for each literal alternative, all its trigrams; empty if one has none."""
-        out = []
-        for word in self.words:
-            for literal in _spellings(word):
-                grams = sorted({literal[i : i + 3] for i in range(len(literal) - 2)})
-                if not grams:
-                    return []
-                out.append(grams)
-        return out
-
-
-def _spellings(word: str) -> list[str]:
-    """The strings that a literal with optional letters stands for."""
-    parts, i = [], 0
-    while i < len(word):
-        optional = word[i + 1 : i + 2] == "?"
-        parts.append(("", word[i]) if optional else (word[i],))
-        i += 1 + optional
-    return ["".join(p) for p in product(*parts)]
+
+    @property
+    def query(self) -> Query:
+        return trigram_query(self.regex)
 
 
 BASE = (
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", ("password", "passwd", "secret", "token", "api_?key"), 2, 12, True),
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     # Shorter runs fail and hold no longer match, so the least length is part of the regex.
-    Rule("access", r"AKIA[A-Z0-9]{14,}", ("AKIA",)),
+    Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
 MORE = (
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    Rule("private", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", ("PRIVATE KEY-----",)),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("private", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
 )
 
 
-def _grams(rules: tuple[Rule, ...]) -> dict[tuple[str, bool], int]:
-    found = sorted({(g, r.any_case) for r in rules for q in r.query() for g in q})
-    if len(found) > 63:
-        raise ValueError("more than 63 trigrams")
-    return {g: i for i, g in enumerate(found)}
+def index(docs: DataFrame, rules: tuple[Rule, ...], *, block: int = BLOCK) -> DataFrame:
+    """The posting lists of the rules' trigrams in the column ``text``: block, lists (trigram -> hashes of texts)."""
+    grams = sorted({g for r in rules for one in r.query for grams in one for g in grams})
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    held = docs.select(F.xxhash64("text").alias("h"), lower.alias("l")).select("h", *[F.col("l").contains(g).alias(f"g{i}") for i, g in enumerate(grams)])
+    found = F.array_compact(F.array(*[F.when(F.col(f"g{i}"), F.lit(g)) for i, g in enumerate(grams)])) if grams else F.array().cast("array<string>")
+    blocks = max(1, -(-docs.count() // block))
+    postings = held.select("h", F.explode(found).alias("gram")).groupBy(F.pmod("h", F.lit(blocks)).alias("block"), "gram").agg(F.collect_set("h").alias("list"))
+    return postings.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "list"))).alias("lists"))
+
 
+def candidates(lists: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """The texts that fulfil the queries of ``rules``: h, rules (the numbers of those that it fulfils)."""
 
-def postings(text: Column, lower: Column, rules: tuple[Rule, ...]) -> Column:
-    """The bits of the rules' trigrams that a text contains."""
-    bits = F.lit(0).cast("long")
-    for (gram, any_case), i in _grams(rules).items():
-        bits = bits.bitwiseOR(F.when((lower if any_case else text).contains(gram), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    return bits
+    def posting(gram: str) -> Column:
+        return F.coalesce(F.col("lists")[gram], F.array().cast("array<bigint>"))
 
+    def fulfilling(query: Query) -> Column:
+        demands = [reduce(F.array_union, [reduce(F.array_intersect, [posting(g) for g in sorted(grams)]) for grams in one]) for one in query]
+        return reduce(F.array_intersect, demands)
 
-def candidate(bits: Column, rule: Rule, rules: tuple[Rule, ...]) -> Column:
-    place, query = _grams(rules), rule.query()
-    if not query:
-        return F.lit(True)
-    out = F.lit(False)
-    for grams in query:
-        mask = F.lit(sum(1 << place[g, rule.any_case] for g in grams)).cast("long")
-        out = out | (bits.bitwiseAND(mask) == mask)
-    return out
+    asked = [F.struct(F.lit(i).alias("rule"), fulfilling(r.query).alias("list")) for i, r in enumerate(rules) if r.query]
+    if not asked:
+        return lists.sparkSession.createDataFrame([], "h long, rules array<int>")
+    each = lists.select(F.explode(F.array(*asked)).alias("a")).select("a.rule", F.explode("a.list").alias("h"))
+    return each.groupBy("h").agg(F.collect_set("rule").alias("rules"))
 
 
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
@@ -115,18 +105,24 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(F.size(matches) > 0, F.aggregate(steps, first, step)["out"])
 
 
-def scan(docs: DataFrame, *, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE) -> DataFrame:
+def scan(docs: DataFrame, *, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE, block: int = BLOCK, most_sent: int = MOST_SENT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_<kind> of each rule, base (spans), found (all spans).
 
     Spans are (start, rank, end) in code points by start, then rule; ends are exclusive.
     """
     rules = base + more
-    text = F.coalesce(F.col("text"), F.lit(""))
-    plain = docs.select("doc_id", text.alias("text"))
-    upper, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    marked = plain.withColumn("bits", postings(F.col("text"), F.translate("text", upper, small), rules))
+    stash = Stash(docs.sparkSession, "secrets")
+    plain = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    known = stash.put(candidates(stash.put(index(plain, rules, block=block), "index"), rules), "candidates")
+    hashed = plain.withColumn("h", F.xxhash64("text"))
+    if known.count() <= most_sent:
+        marked = hashed.join(F.broadcast(known), "h", "left")
+    else:
+        repeated = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        marked = hashed.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).join(repeated, ["h", "salt"], "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    spans = [F.coalesce(F.when(candidate(F.col("bits"), r, rules), _spans(F.col("text"), r, i)), none).alias(r.kind) for i, r in enumerate(rules)]
+    verified = lambda i, r: F.when(F.array_contains("rules", i) if r.query else F.lit(True), _spans(F.col("text"), r, i))
+    spans = [F.coalesce(verified(i, r), none).alias(r.kind) for i, r in enumerate(rules)]
     found = marked.select("doc_id", *spans)
     counts = [F.size(r.kind).cast("long").alias(f"n_{r.kind}") for r in rules]
     joined = lambda some: F.array_sort(F.concat(*[F.col(r.kind) for r in some]))

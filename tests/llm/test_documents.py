@@ -5,9 +5,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, exact_dedup, language_id, secrets
+from quern.llm._trigrams import trigram_query
 from quern.llm.near_dedup import _buckets, near_duplicates
 
 
@@ -225,7 +229,42 @@ def test_secrets(spark, docs, rows, empty):
         assert got[r.doc_id] == ",".join(f"{names[k]}:{a}:{b}" for a, k, b in reference_spans(r.text or ""))
 
 
+def test_secrets_in_blocks(spark, docs):
+    want = Counter(map(str, secrets.scan(docs).collect()))
+    for block, most in ((1, 1000), (5, 0), (1000, 3)):
+        assert Counter(map(str, secrets.scan(docs, block=block, most_sent=most).collect())) == want
+
+
+def test_candidates_are_those_of_the_queries(spark, rows, docs):
+    rules = secrets.BASE + secrets.MORE
+    plain = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    found = {r.h: set(r.rules) for r in secrets.candidates(secrets.index(plain, rules, block=4), rules).collect()}
+    named = {r.h: r.text for r in plain.select(F.xxhash64("text").alias("h"), "text").collect()}
+    ascii_lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for h, text in named.items():
+        low = text.translate(ascii_lower)
+        fulfilled = {i for i, r in enumerate(rules) if r.query and all(any(all(g in low for g in grams) for grams in one) for one in r.query)}
+        assert found.get(h, set()) == fulfilled
+
+
 def test_trigram_queries():
-    assert secrets.BASE[2].query() == []
-    assert ["api", "ike", "key", "pik"] in secrets.BASE[0].query()
-    assert secrets.BASE[1].query() == [["AKI", "KIA"]]
+    assign, access, hexadecimal = (r.query for r in secrets.BASE)
+    assert hexadecimal == [] and access == [[{"aki", "kia"}]]
+    assert {"api", "pik", "ike", "key"} in assign[0] and {"api", "pi_", "i_k", "_ke", "key"} in assign[0]
+    assert trigram_query("ab?c{2}d+(xyz|uv[wW]s)") == [[{"abc", "bcc", "ccd"}, {"acc", "ccd"}], [{"uvw", "vws"}, {"xyz"}]]
+    assert trigram_query("abc|.*") == [] and trigram_query("a") == [] and trigram_query("(abcd|x*)y") == []
+    for odd in (r"\d", "[^a]", "(?=a)", "a**", "^a", "(a", "[[:alpha:]]"):
+        with pytest.raises(ValueError):
+            trigram_query(odd)
+
+
+EXPRESSIONS = [r.regex for r in secrets.BASE + secrets.MORE] + ["ab?c{2}d+(xyz|uv[wW]s)", "(foo|ba[rz]{1,3})+(quux)?end", "x{5}y{2,}|(?:one|two(three|four)?)five", "[a-c][d-f][g-i]stem(s|)", "(?i:ABC)d.ef|\\x41BCD"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_no_match_escapes_its_query(data):
+    pattern = data.draw(st.sampled_from(EXPRESSIONS))
+    text = data.draw(st.from_regex(re.compile(pattern, re.A)))
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    assert all(any(all(g in low for g in grams) for grams in one) for one in trigram_query(pattern))
