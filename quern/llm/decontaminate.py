@@ -1,15 +1,15 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-Test items are short and documents are long, so a document's Jaccard similarity with
-an item it contains is tiny and banding of whole signatures would need hundreds of
-bands to find it. Instead items are partitioned by size, and each size fixes how many
-minima a sketch needs: if a document holds ``percent`` of an item's q shingles, it
-holds one of any q - ceil(percent * q) + 1 of them, so the item's that many least
-hashes are a bottom-k MinHash sketch that no contaminated document misses. Documents
-probe the sketches; a hit is verified on the full shingle sets.
+Test items are short and documents are long, so a document's Jaccard similarity with an item that it contains is tiny
+(the README has figures of what banded signatures of the two would find). The sketches here are bottom-k MinHashes of
+the items, partitioned by size: a partition fixes how many minima its sketches have and how many of them a document must
+hold. If a document holds ``need`` = ceil(percent * q) of an item's q shingles, it lacks q - need of them at most, so of
+the item's k least hashes it holds at least k - (q - need), whatever the hash function. A partition takes k = q - need +
+m minima and asks for m of them, more for larger items: no contaminated document is missed, and one passage that many
+items share does not make all of them candidates. Candidates are verified on the full shingle sets.
 
-Items are dealt into blocks of at most ``BLOCK_SHINGLES`` shingles; each block is
-broadcast and all documents are searched against it, so what is broadcast is bounded.
+Items are dealt into blocks of ``BLOCK_SHINGLES`` shingles and one item at most; each block is broadcast and all
+documents are searched against it, so what is broadcast is bounded.
 
 Defined results: a null, empty or blank document or item has no shingles and matches
 nothing; an item of fewer words than a shingle matches only documents of just these
@@ -26,39 +26,62 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._shingles import U64, shingle_sets
 from ._stash import Stash
 
 WIDTH, PERCENT = 5, 75
-#: Shingles of test items in a broadcast block (16 MB of hashes), and the most shingles of an item.
-BLOCK_SHINGLES = 2_000_000
+#: Shingles of test items in a broadcast block (8 MB of hashes and as much of sketches), and the minima that a sketch of a large item must share.
+BLOCK_SHINGLES, SHARED = 1_000_000, 8
 #: Tasks that the rows of one text are dealt to where hits of several blocks are merged.
 SALTS = 16
 
 
+class Partition:
+    """The sketches of items of 2^size to 2^(size + 1) - 1 shingles: their minima in ascending order, and the number a document must hold."""
+
+    def __init__(self, size: int, items: list[int], sets: list[np.ndarray], need: list[int]) -> None:
+        #: An eighth of the least item's shingles, but one at least.
+        self.least = max(1, min(SHARED, 1 << size >> 3))
+        take = [min(len(sets[i]), len(sets[i]) - need[i] + self.least) for i in items]
+        # Where an item has fewer shingles than that, all of them are its sketch.
+        self.ask = np.array([k - (len(sets[i]) - need[i]) for i, k in zip(items, take, strict=True)])
+        self.items = np.array(items)
+        hashes = np.concatenate([sets[i][:k] for i, k in zip(items, take, strict=True)])
+        owner = np.repeat(np.arange(len(items)), take)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owner = hashes[order], owner[order]
+
+    def candidates(self, found: np.ndarray) -> np.ndarray:
+        """The items of whose sketches a document's sorted set holds enough."""
+        lo = np.searchsorted(self.hashes, found, "left")
+        hit = np.flatnonzero((lo < len(self.hashes)) & (self.hashes[np.minimum(lo, len(self.hashes) - 1)] == found))
+        if not len(hit):
+            return self.items[:0]
+        first = lo[hit]
+        n = np.searchsorted(self.hashes, found[hit], "right") - first
+        owners = self.owner[np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        which, held = np.unique(owners, return_counts=True)
+        return self.items[which[held >= self.ask[which]]]
+
+
 class Index:
-    """Items' shingle sets with their sketches, the sketches' hashes in ascending order."""
+    """Items' shingle sets with their sketches by partition."""
 
     def __init__(self, ids: list, sets: list[np.ndarray], percent: int) -> None:
         self.ids, self.sets = ids, sets
         self.need = [-(-len(s) * percent // 100) for s in sets]
-        # The partition of an item's size says how many of its least hashes make the sketch.
-        take = [len(s) - n + 1 for s, n in zip(sets, self.need, strict=True)]
-        hashes = np.concatenate([s[:k] for s, k in zip(sets, take, strict=True)]) if sets else np.zeros(0, U64)
-        owner = np.repeat(np.arange(len(sets)), take)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.owner = hashes[order], owner[order]
+        sizes = [len(s).bit_length() - 1 for s in sets]
+        self.partitions = [Partition(k, [i for i, x in enumerate(sizes) if x == k], sets, self.need) for k in sorted(set(sizes))]
 
     def search(self, found: np.ndarray) -> list[tuple[int, int]]:
         """(item, shared shingles) of the items that the sorted set ``found`` contains."""
-        lo, hi = np.searchsorted(self.hashes, found, "left"), np.searchsorted(self.hashes, found, "right")
-        hit = np.flatnonzero(hi > lo)
-        items = sorted({int(i) for h in hit for i in self.owner[lo[h] : hi[h]]})
         out = []
-        for i in items:
+        for i in sorted(int(i) for p in self.partitions for i in p.candidates(found)):
             mine = self.sets[i]
             at = np.minimum(np.searchsorted(found, mine), len(found) - 1)
             both = int((found[at] == mine).sum())
@@ -77,16 +100,19 @@ def _indexes(items: DataFrame, width: int, percent: int, block: int) -> Iterator
                 yield pa.record_batch({"item_id": batch["item_id"].slice(at, len(parts)), "n": pa.array(np.diff(places), pa.int64()), "shingles": pa.array(parts, pa.binary())})
 
     sets = items.select("item_id", "text").mapInArrow(run, f"item_id {kind}, n long, shingles binary").filter("n > 0")
-    sets = Stash(items.sparkSession, "items").put(sets, "sets")
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-2 * total // block))
-    dealt = sets.withColumn("block", F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)))
-    for k in range(blocks):
-        rows = dealt.filter(F.col("block") == k).collect()
+    sets = Stash(items.sparkSession, "items").put(sets, "sets").select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    # Running totals of shingles, within files and over the files' sums, deal items into blocks of one size.
+    files = sets.groupBy("file").agg(F.sum("n").alias("all"))
+    before = files.select("file", (F.sum("all").over(Window.orderBy("file")) - F.col("all")).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("file").orderBy("row")) - F.col("n")
+    total = files.agg(F.sum("all")).first()[0] or 0
+    dealt = sets.withColumn("within", within).join(before, "file").withColumn("block", F.floor((F.col("within") + F.col("before")) / block))
+    for k in range(max(1, -(-total // block))):
+        rows = dealt.filter(F.col("block") == k).select("item_id", "shingles").collect()
         yield Index([r["item_id"] for r in rows], [np.frombuffer(r["shingles"], U64) for r in rows], percent)
 
 
-def _search(docs: DataFrame, shared: Broadcast, width: int, key: str) -> DataFrame:
+def _search(docs: DataFrame, shared: Broadcast, width: int, key: T.DataType) -> DataFrame:
     """The items of one broadcast index in each row of ``docs``, whose columns but the text are kept."""
     kept = [f for f in docs.schema.fields if f.name != "text"]
 
@@ -101,12 +127,9 @@ def _search(docs: DataFrame, shared: Broadcast, width: int, key: str) -> DataFra
                     "shared": pa.array([[n for _, n in x] for x in found], pa.list_(pa.int64())),
                 })
 
-    from pyspark.sql.types import _parse_datatype_string
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    key_type = pa.list_(to_arrow_type(_parse_datatype_string(key)))
+    key_type = pa.list_(to_arrow_type(key))
     before = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in kept)
-    return docs.mapInArrow(run, f"{before}n_shingles long, items array<{key}>, shared array<long>")
+    return docs.mapInArrow(run, f"{before}n_shingles long, items array<{key.simpleString()}>, shared array<long>")
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, block: int = BLOCK_SHINGLES) -> DataFrame:
@@ -115,7 +138,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, width: int = WIDTH, perc
     The first block of items is searched for every row. Hits of further blocks are written one block
     after the other, a row per text that has any, and joined by the text's digest: equal texts have equal hits.
     """
-    key = items.schema["item_id"].dataType.simpleString()
+    key = items.schema["item_id"].dataType
     context, stash = docs.sparkSession.sparkContext, Stash(docs.sparkSession, "hits")
     rows = docs.select("doc_id", "text")
     texts = docs.select(F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "text")

@@ -268,3 +268,18 @@ def test_no_match_escapes_its_query(data):
     text = data.draw(st.from_regex(re.compile(pattern, re.A)))
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     assert all(any(all(g in low for g in grams) for grams in one) for one in trigram_query(pattern))
+
+
+def test_sketches_miss_nothing():
+    rng = np.random.default_rng(3)
+    u64 = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    common = u64(12)
+    sets = [np.unique(np.concatenate((common[: q // 4], u64(q - q // 4)))) for q in [*range(1, 70), 100, 129, 255, 256, 1000] for _ in range(3)]
+    for percent in (75, 100, 30, 1):
+        index = decontaminate.Index(list(range(len(sets))), sets, percent)
+        for s in sets:
+            for share in (0.2, 0.6, 0.74, 0.75, 0.76, 1.0):
+                part = rng.permutation(s)[: int(np.ceil(share * len(s)))]
+                document = np.unique(np.concatenate((part, u64(500))))
+                want = [(i, n) for i, x in enumerate(sets) if 100 * (n := len(np.intersect1d(x, document))) >= percent * len(x)]
+                assert index.search(document) == want
