@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import batched, chain
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,9 @@ from ._merge import merge, outcome, pair
 from ._perfect_hash import PerfectHash
 
 #: Most distinct pre-tokens that a worker remembers; characters of texts, and pre-tokens of a longer text, that share a lookup.
-MEMO, CHUNK, PIECES = 300_000, 1 << 20, 200_000
+MEMO, CHUNK, PIECES = 1_000_000, 1 << 20, 200_000
 #: Characters of the longest pre-token that is remembered beyond the texts at hand.
-LONGEST = 64
+LONGEST = 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -56,7 +56,9 @@ class Codec:
         self.one = [ranks.get(bytes((b,)), -1) for b in range(256)]
         splits = ((rank, ranks.get(key[:k]), ranks.get(key[k:])) for key, rank in ranks.items() for k in range(1, len(key)))
         self.merges = {pair(a, b): outcome(rank, rank) for rank, a, b in splits if a is not None and b is not None}
-        self.memo: dict[str, Sequence[int]] = {}
+        #: The ids of each token alone, and of remembered pre-tokens, as little-endian 32-bit bytes.
+        self.alone = [rank.to_bytes(4, "little") for rank in range(top)]
+        self.memo: dict[str, bytes] = {}
         self.cut = None
 
     def __getstate__(self) -> dict:
@@ -65,9 +67,9 @@ class Codec:
     def _learn(self, pieces: list[str]) -> None:
         """Puts the ids of new distinct pre-tokens into the memo."""
         keys = [p.encode() for p in pieces]
-        ranks, slots, memo, merges, one = self.ranks, self.slots, self.memo, self.merges, self.one
+        ranks, slots, memo, merges, one, alone = self.ranks, self.slots, self.memo, self.merges, self.one, self.alone
         for piece, key, slot in zip(pieces, keys, self.hash.slots(keys).tolist(), strict=True):
-            memo[piece] = (ranks[key],) if slots[slot] == key else merge([one[b] for b in key], merges)
+            memo[piece] = alone[ranks[key]] if slots[slot] == key else b"".join([alone[i] for i in merge([one[b] for b in key], merges)])
 
     def encode(self, text: str | None) -> np.ndarray:
         return next(self.encode_all([text]))
@@ -101,7 +103,7 @@ class Codec:
         if new:
             self._learn(list(new))
         for pieces in group:
-            yield np.fromiter(chain.from_iterable(map(memo.__getitem__, pieces)), np.uint32)
+            yield np.frombuffer(b"".join(map(memo.__getitem__, pieces)), "<u4")
         for piece in new:
             if len(piece) > LONGEST:
                 del memo[piece]
