@@ -1,4 +1,12 @@
-"""From raw documents to training rows: the corpus pipeline."""
+"""From raw documents to training rows: the corpus pipeline.
+
+Each stage reads what the one before kept, whole, and but for the last returns rows of ``documents`` as they were.
+
+Defined results: a null, empty or letterless text is rejected by the language stage, and so is every row if no row has a
+language to learn from; rows with a null id take part like others, repeated rows are exact copies, rows of one id with
+different texts are judged each by itself; ties of ids go to other columns (exact) or to the text's hash (near); an empty
+table gives an empty result; further columns are carried along up to the encoding, which returns doc_id, ids and text.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,11 @@
+import random
+
+import public_tokenizers
+import tiktoken
+
 import corpus_pipeline
+from quern.llm import byte_bpe, language_id
+from tests.llm.test_documents import shingles
 
 
 def test_stages_keep_columns_and_take_effect(spark, docs, tmp_path):
@@ -39,3 +46,58 @@ def test_near_decides_per_row(spark):
     ids = lambda g: sorted(i for i, _, h in found if h == g)
     assert (ids("older"), ids("clean"), ids("tie"), ids("some_id"), ids("blank")) == ([1], [2], [5], [9], [3, 4])
     assert len([1 for r in found if r[2] == "no_id"]) == 1
+
+
+def test_run_against_brute_force(spark, rows, tmp_path):
+    """Each stage worked out by hand on what the stage before kept."""
+    rng = random.Random(8)
+    word = lambda k, n=50: " ".join(f"{k}{rng.choice(['the', 'und', 'les'])}{i}" for i in range(n))
+    passage, other = word("q", 40), word("z", 30)
+    texts = [word("a"), word("b"), word("c") + " " + passage + " " + word("d"), passage, passage[:-60], other + " tail", None, "", "12 34"]
+    texts += [texts[0], texts[0] + " more", texts[1] + " more words", texts[1].replace("b", "B"), texts[2] + " end"]
+    table = [(i if i % 7 else None, x, "en" if i % 2 else "de", "s", len(x or "")) for i, x in enumerate(texts * 2 + [x for _, x, *_ in rows])]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars int").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, passage), (2, other), (3, None), (4, "one two three four")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    out = language_id.fit(spark.read.parquet(f"{tmp_path}/documents.parquet")).predict([r[1] for r in table])[2]
+    now = [r for r, rejected in zip(table, out, strict=True) if not rejected]
+    assert len(now) < len(table)
+    number = lambda i: (i is not None, i or 0)
+    best: dict = {}
+    for r in now:
+        if r[1] not in best or (number(r[0]), r[2:]) > (number(best[r[1]][0]), best[r[1]][2:]):
+            best[r[1]] = r
+    assert len(best) < len(now)
+    now = list(best.values())
+    sets = [shingles(r[1]) for r in now]
+    up = list(range(len(now)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in range(len(now)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                up[top(a)] = top(b)
+    groups: dict = {}
+    for k, r in enumerate(now):
+        groups.setdefault(top(k), []).append(r)
+    assert len(groups) < len(now)
+    # Of a group the least id stays; where only nulls compete, any one row.
+    allowed = [[r for r in g if r[0] == min((x[0] for x in g if x[0] is not None), default=None)] for g in groups.values()]
+    banned = [q for _, x in items if (q := shingles(x))]
+    clean = lambda r: not any(100 * len(q & shingles(r[1])) >= 75 * len(q) for q in banned)
+    assert any(not clean(r) for g in allowed for r in g)
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    oracle = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    left = {(r.doc_id, r.text, tuple(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    for group in allowed:
+        made = [(r[0], r[1], tuple(oracle.encode_ordinary(r[1]))) for r in group]
+        found = [m for m in made if m in left]
+        # A group of one candidate is decided; among several the one that stays may be clean or not.
+        assert len(found) == clean(group[0]) if len(group) == 1 else len(found) <= 1
+        left -= set(found)
+    assert not left
