@@ -5,6 +5,7 @@ NULL in, NULL out unless said otherwise. Booleans are Spark booleans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -50,24 +51,37 @@ def simple_case(x: Column, branches: list[tuple[Column, Column]], otherwise: Col
     return out.otherwise(otherwise) if out is not None else otherwise
 
 
-def _shortest(x: Column) -> tuple[Column, Column, Column]:
-    """Digits without trailing zeros, decimal exponent and exponent part of the shortest text that reads as ``x`` again."""
-    full = F.format_string("%.16e", F.abs(x))
+def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x worked out once however often f names it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _shortest(x: Column) -> Column:
+    """A positive real with the fewest digits that read back, as d.ddde+dd."""
+    full = F.format_string("%.16e", x)
     # Rounding a decimal text again can go astray by one, so that the cut one is tried as well.
-    forms = [F.format_string("%.14e", F.abs(x)), F.format_string("%.15e", F.abs(x)), F.regexp_replace(full, "[0-9]e", "e")]
-    kept = F.coalesce(*[F.when(f.cast("double") == F.abs(x), f) for f in forms], full)
-    digits = F.regexp_replace(F.replace(F.substring_index(kept, "e", 1), F.lit("."), F.lit("")), "0+$", "")
-    part = F.substring_index(kept, "e", -1)
-    return digits, part.cast("int"), part
+    forms = [F.format_string("%.14e", x), F.format_string("%.15e", x), F.regexp_replace(full, "[0-9]e", "e")]
+    return F.coalesce(*[F.when(f.cast("double") == x, f) for f in forms], full)
 
 
-def _real_text(x: Column) -> Column:
-    digits, e, part = _shortest(x)
+def _spelled(d: Column) -> Column:
+    """The text of digits (without zeros at the end), decimal exponent and exponent part."""
+    digits, e, part = d["digits"], d["e"], d["part"]
     rest = F.substring(digits, F.lit(2), F.length(digits))
     plain = F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substring(digits, e + 2, F.length(digits)))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
     wide = F.concat(F.substring(digits, 1, 1), F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)), F.lit("e"), part)
-    return F.concat(F.when(x < 0, "-").otherwise(""), F.when(e.between(0, 15), plain).when(e.between(-4, -1), small).otherwise(wide))
+    return F.when(e.between(0, 15), plain).when(e.between(-4, -1), small).otherwise(wide)
+
+
+def _real_text(x: Column) -> Column:
+    def taken_apart(kept: Column) -> Column:
+        digits = F.regexp_replace(F.replace(F.substring_index(kept, "e", 1), F.lit("."), F.lit("")), "0+$", "")
+        part = F.substring_index(kept, "e", -1)
+        return F.struct(digits.alias("digits"), part.cast("int").alias("e"), part.alias("part"))
+
+    text = _bound(_bound(_bound(F.abs(x), _shortest), taken_apart), _spelled)
+    return F.concat(F.when(x < 0, "-").otherwise(""), text)
 
 
 def text_of(x: Column, kind: str) -> Column:
