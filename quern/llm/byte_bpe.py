@@ -24,7 +24,7 @@ from ._merge import merge, outcome, pair
 from ._perfect_hash import PerfectHash
 
 #: Most distinct pre-tokens that a worker remembers; characters of texts, and pre-tokens of a longer text, that share a lookup.
-MEMO, CHUNK, PIECES = 1_000_000, 1 << 20, 200_000
+MEMO, CHUNK, PIECES = 450_000, 1 << 20, 200_000
 #: Characters of the longest pre-token that is remembered beyond the texts at hand.
 LONGEST = 48
 
