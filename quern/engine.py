@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -79,6 +80,8 @@ class Database:
         self._own = None
         if path == ":memory:":
             shared = self.spark.conf.get("spark.checkpoint.dir", None)
+            if shared is None and not re.fullmatch(r"local(\[.*\])?", self.spark.sparkContext.master):
+                raise QuernError("spark.checkpoint.dir must name a folder that all executors share")
             self._own = tempfile.mkdtemp(prefix="quern-") if shared is None else None
             path = self._own or f"{shared.rstrip('/')}/quern-{uuid.uuid4().hex}"
             self._passing = True

@@ -21,36 +21,6 @@ def int_div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, F.nullif(b, F.lit(0)))
 
 
-def mod(a: Column, b: Column) -> Column:
-    """Remainder with the dividend's sign; NULL for a zero divisor."""
-    return F.try_mod(a, b)
-
-
-def between(x: Column, low: Column, high: Column) -> Column:
-    """NULL if any of the three is NULL, also where the other bound decides."""
-    return F.when(~_any_null(x, low, high), x.between(low, high))
-
-
-def like(x: Column, pattern: str) -> Column:
-    """Case-insensitive LIKE without an escape character."""
-    return x.ilike(pattern.replace("\\", "\\\\"))
-
-
-def in_list(x: Column, values: list) -> Column:
-    """IN with SQL's NULL rules; an empty list is FALSE, or NULL for a NULL operand."""
-    known = [v for v in values if v is not None]
-    found = x.isin(known) if known else F.when(x.isNotNull(), F.lit(False))
-    return found | F.lit(None).cast("boolean") if len(known) < len(values) else found
-
-
-def simple_case(x: Column, branches: list[tuple[Column, Column]], otherwise: Column) -> Column:
-    """CASE x WHEN v THEN r ..., in which NULL matches NULL."""
-    out = None
-    for value, result in branches:
-        out = F.when(x.eqNullSafe(value), result) if out is None else out.when(x.eqNullSafe(value), result)
-    return out.otherwise(otherwise) if out is not None else otherwise
-
-
 def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
     """f of x, with x worked out once however often f names it."""
     return F.transform(F.array(x), f)[0]
@@ -108,18 +78,6 @@ def greatest(*columns: Column) -> Column:
     return F.when(~_any_null(*columns), F.greatest(*columns))
 
 
-def substr(s: Column, start: int, n: int | None = None) -> Column:
-    """1-based; 0 counts as 1; a negative start counts from the end, clamped to the text, and a negative n takes characters before it."""
-    size = F.length(s)
-    begin = F.greatest(size + start, F.lit(0)) if start < 0 else F.lit(max(start - 1, 0))
-    if n is None:
-        return F.substring(s, begin + 1, size)
-    if n < 0:
-        first = F.greatest(begin + n, F.lit(0))
-        return F.substring(s, first + 1, begin - first)
-    return F.substring(s, begin + 1, F.lit(n))
-
-
 def _halves(v: Column) -> tuple[Column, Column]:
     """A double as the exact sum of two of at most 26 bits (Veltkamp)."""
     t = F.lit(134217729.0) * v
@@ -144,29 +102,3 @@ def round_half_away(x: Column, digits: Column | int = 0) -> Column:
     up = F.when(p - whole == 0.5, error >= 0).otherwise((p - whole > 0.5) | (error >= 0.5))
     rounded = (whole + F.when(up, 1.0).otherwise(0.0)) / scale
     return F.when(F.isnan(x) | (p >= 2.0**53), x).otherwise(F.when(x < 0, -rounded).otherwise(rounded))
-
-
-def hex_of(x: Column, kind: str) -> Column:
-    """Hexadecimal of a blob or of the UTF-8 of the text form."""
-    return F.hex(x) if kind == "binary" else F.hex(text_of(x, kind))
-
-
-def type_name(x: Column, kind: str) -> Column:
-    names = {"bigint": "integer", "int": "integer", "double": "real", "string": "text", "binary": "blob"}
-    return F.when(x.isNull(), "null").otherwise(names[kind])
-
-
-def total(x: Column) -> Column:
-    """TOTAL: a double, 0.0 without values."""
-    return F.coalesce(F.sum(x.cast("double")), F.lit(0.0))
-
-
-def group_concat(x: Column, order: Column, separator: str = ",") -> Column:
-    """Values joined in the order of a unique key; NULLs are left out, and a group without values is NULL."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(x.isNotNull(), F.struct(order.alias("o"), x.alias("x"))))), lambda s: s["x"]), separator)
-    return F.when(F.count(x) > 0, joined)
-
-
-def money_sum(x: Column) -> Column:
-    """An exact sum of amounts with two decimals, whatever the order of summation."""
-    return F.sum(x.cast("decimal(18,2)")).cast("double")

@@ -144,6 +144,29 @@ def test_folder_outlives_the_database(spark, tmp_path):
         connect(path, spark)
 
 
+def test_folder_of_another_store(spark, tmp_path):
+    # Hadoop's file system instead of the operating system's.
+    def far():
+        db = connect(f"file://{tmp_path}/far", spark)
+        db.store.files.local = None
+        db.store.tables.clear()
+        db.store.version = 0
+        names = db.store.files.names("manifest")
+        if names:
+            db.store._load(names[-1])
+        return db
+
+    with far() as db:
+        db.execute("CREATE TABLE t (a INTEGER, b TEXT DEFAULT 'é'); INSERT INTO t (a) VALUES (1), (2); DELETE FROM t WHERE a = 1")
+    with far() as db, far() as other:
+        assert db.query("SELECT a, b FROM t") == [(2, "é")]
+        other.execute("INSERT INTO t VALUES (3, 'x')")
+        with pytest.raises(TransactionError):
+            db.execute("INSERT INTO t VALUES (4, 'y')")
+        other.vacuum()
+        assert other.query("SELECT a FROM t") == [(2,), (3,)] and len(db.store.files.names("manifest")) == 1
+
+
 CRASH = """
 import os, sys
 from pyspark.sql import SparkSession
