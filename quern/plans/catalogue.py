@@ -243,8 +243,20 @@ def _close(db: Database) -> None:
         pass
 
 
+_open: dict[tuple[str, str], Database] = {}
+
+
+def _shared(spark: SparkSession, sf_dir: str) -> Database:
+    """The open database of a folder for queries that change nothing: its tables' footers are read once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _open:
+        _open.clear()
+        _open[key] = database(spark, sf_dir)
+    return _open[key]
+
+
 def _run(query: Query, spark: SparkSession, sf_dir: str) -> DataFrame:
-    db = database(spark, sf_dir)
+    db = database(spark, sf_dir) if len(query.statements) > 1 else _shared(spark, sf_dir)
     for statement in query.statements[:-1]:
         db.execute(statement)
     result = db.execute(query.statements[-1], query.params)
