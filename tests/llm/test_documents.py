@@ -283,3 +283,22 @@ def test_sketches_miss_nothing():
                 document = np.unique(np.concatenate((part, u64(500))))
                 want = [(i, n) for i, x in enumerate(sets) if 100 * (n := len(np.intersect1d(x, document))) >= percent * len(x)]
                 assert index.search(document) == want
+
+
+def test_one_text_in_a_third_of_all_rows(spark):
+    # Copies with ids of their own, with one id, and without any, beside others.
+    texts = [(i, "hot") for i in range(400)] + [(7, "hot")] * 200 + [(None, "hot")] * 50 + [(1000 + i, f"t{i % 300}") for i in range(900)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
+    groups = defaultdict(list)
+    for i, x in texts:
+        groups[x].append(i)
+    keep = {x: max(i for i in ids if i is not None) for x, ids in groups.items()}
+    want = Counter((i, keep[x], len(groups[x]), i == keep[x], hashlib.sha256(x.encode()).hexdigest()) for i, x in texts)
+    found = exact_dedup.duplicates(docs)
+    assert Counter(map(tuple, found.collect())) == want
+    # The rows of the hot text go back to their group in several tasks.
+    spread = docs.filter("text = 'hot'").select(F.pmod(F.xxhash64("doc_id"), F.lit(exact_dedup.PARTS)).alias("part")).distinct().count()
+    assert spread == exact_dedup.PARTS
+    assert Counter((r.doc_id, r.text) for r in exact_dedup.survivors(docs).collect()) == Counter((i, x) for x, i in keep.items())
+    near = {(r.doc_id, r.component_id) for r in near_duplicates(docs.filter("doc_id is not null")).collect()}
+    assert near == {(i, min(j for j in groups[x] if j is not None)) for i, x in texts if i is not None}
