@@ -36,12 +36,13 @@ def delete(spark: SparkSession, path: str) -> None:
 class Stash:
     """A private folder for the tables of one operator call.
 
-    ``put`` writes a table and returns a reader of it, ``drop`` deletes tables that
-    no later plan reads; what the returned result still reads goes at exit.
+    ``put`` writes a table and returns a reader of it; ``drop`` and ``keep`` delete tables
+    that no later plan reads; what the returned result still reads goes at exit.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        self.names: list[str] = []
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._close)
 
@@ -50,12 +51,17 @@ class Stash:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
+        self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
         for name in names:
             delete(self.spark, self.path(name))
 
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these."""
+        self.drop(*(set(self.names) - set(names)))
+
     def _close(self) -> None:
         try:
             delete(self.spark, self.root)

@@ -251,4 +251,5 @@ def _placed(docs: DataFrame, width: int, percent: int, t: int, rows: int, block:
     ids = classes.select("fp", "doc_id", "content").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = ids.groupBy("root").agg(first.alias("least"))
     named = stash.put(ids.select("fp", "root").join(least, "root").select("fp", "least"), "named")
+    stash.keep("signed", "named")
     return signed.select("doc_id", "content", "n_shingles", "fp").join(named, "fp", "left")

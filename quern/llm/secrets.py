@@ -114,6 +114,7 @@ def scan(docs: DataFrame, *, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ..
     stash = Stash(docs.sparkSession, "secrets")
     plain = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     known = stash.put(candidates(stash.put(index(plain, rules, block=block), "index"), rules), "candidates")
+    stash.drop("index")
     hashed = plain.withColumn("h", F.xxhash64("text"))
     if known.count() <= most_sent:
         marked = hashed.join(F.broadcast(known), "h", "left")
