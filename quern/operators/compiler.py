@@ -73,6 +73,9 @@ def value(node: object, scope: _Scope) -> Value:
             return scope.find(node)
         case X.Unary("NOT", x):
             return V.boolean(~V.truth(one(x)))
+        case X.Unary("-", X.Literal(int() | float() as x)):
+            # The least integer is within 64 bits, its digits alone are not.
+            return V.constant(-x)
         case X.Unary(_, x):
             return V.negative(one(x))
         case X.Binary("AND", a, b):

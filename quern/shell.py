@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import io
+import math
 import os
 import sys
 import time
@@ -37,8 +38,13 @@ def shown(x: object, null: str = "NULL") -> str:
 
 
 def literal(x: object) -> str:
-    """A value as the dialect writes it."""
-    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else shown(x)
+    """A value as the dialect writes it, such that it is read back as the same value of the same class."""
+    if isinstance(x, str):
+        return "'" + x.replace("'", "''") + "'"
+    if isinstance(x, float):
+        # Infinities have no name of their own: a real beyond the range, and the difference of two for what is no number.
+        return "1e999 - 1e999" if math.isnan(x) else repr(x).replace("inf", "1e999")
+    return shown(x)
 
 
 def as_table(columns: Sequence[str], rows: Iterable[Sequence], headers: bool = True) -> str:

@@ -260,6 +260,22 @@ def test_formats():
     assert as_csv(columns, rows[:3]) == 'id,name\n1,ada\n2,\n3,"a,""b"""'
     assert as_list(columns, rows[1:], headers=False) == "2|\n3|a,\"b\"\n4|x'00ff'\n1e+16|1"
     assert [literal(x) for x in (None, 3, 1.5, "it's", b"\x00\xff")] == ["NULL", "3", "1.5", "'it''s'", "x'00ff'"]
+    assert [literal(x) for x in (7.0, 1e22, float("inf"), -float("inf"), float("nan"))] == ["7.0", "1e+22", "1e999", "-1e999", "1e999 - 1e999"]
+
+
+def test_dump_keeps_values_and_their_classes(spark):
+    rows = [(-(2**63), float("inf"), "a\nb;--'x", -(2**63), b""), (2**63 - 1, -float("inf"), "", 7.0, b"\x00"), (None, -0.0, "\x00z", 7, None), (1, 1e-320, "é", "7", b"a"), (0, 1e22, "NULL", -float("inf"), b"'")]
+    with connect(":memory:", spark) as db, connect(":memory:", spark) as other:
+        db.execute("CREATE TABLE t (i INTEGER DEFAULT -9223372036854775808, r REAL DEFAULT 7.0, s TEXT, x DEFAULT 2.0, b BLOB)")
+        db.executemany("INSERT INTO t VALUES (?, ?, ?, ?, ?)", rows)
+        db.execute("INSERT INTO t (r) SELECT SUM(r) FROM t")
+        other.execute("\n".join(Shell(db, io.StringIO()).dump()))
+        assert other.schema() == db.schema()
+        asked = "SELECT i, r, s, x, b, TYPEOF(x) FROM t"
+        assert repr(other.query(asked)) == repr(db.query(asked)) and repr(db.query("SELECT r, x FROM t")[-1]) == "(nan, 2.0)"
+        assert db.query("SELECT -9223372036854775808, x FROM t WHERE i = -9223372036854775808 AND s LIKE 'a%'") == [(-(2**63), -(2**63))]
+        with pytest.raises(QuernError):
+            db.query("SELECT 9223372036854775808")
 
 
 def test_shell(spark, tmp_path, monkeypatch, capsys):
