@@ -16,6 +16,10 @@ from quern.llm import byte_bpe, decontaminate, exact_dedup, language_id, near_de
 from quern.llm._stash import Stash
 
 
+#: Pre-tokens that an encoding worker remembers: it serves the other stages as well and shares an executor's memory with them.
+MEMO = 100_000
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is recognised."""
     return language_id.accepted(docs)
@@ -38,7 +42,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training rows: doc_id, the token ids and the text as decoded from them."""
-    return byte_bpe.tokens(docs, registry.byte_codec())
+    return byte_bpe.tokens(docs, registry.byte_codec(MEMO))
 
 
 STAGES = [("language", language), ("exact_dedup", exact), ("near_dedup", near), ("decontaminate", decontaminated), ("encode", encoded)]

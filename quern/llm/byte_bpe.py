@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._memory import released
 from ._merge import merge, outcome, pair
 from ._perfect_hash import PerfectHash
 
@@ -36,11 +37,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Codec:
-    """Encodes and decodes with ``ranks``, cutting texts by ``pattern``; small enough to broadcast (the vocabulary's size)."""
+    """Encodes and decodes with ``ranks``, cutting texts by ``pattern``; small enough to broadcast (the vocabulary's size).
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    ``most`` pre-tokens are remembered; it decides time and memory, never a result.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = MEMO) -> None:
         keys = list(ranks)
-        self.ranks, self.pattern = ranks, pattern
+        self.ranks, self.pattern, self.most = ranks, pattern, most
         self.hash = PerfectHash(keys)
         self.slots: list[bytes] = [b""] * len(keys)
         for key, slot in zip(keys, self.hash.slots(keys).tolist(), strict=True):
@@ -97,7 +101,7 @@ class Codec:
     def _group(self, group: list[Sequence[str]]) -> Iterator[np.ndarray]:
         memo = self.memo
         new = set().union(*group).difference(memo)
-        if len(memo) + len(new) > MEMO:
+        if len(memo) + len(new) > self.most:
             memo.clear()
             new = set().union(*group)
         if new:
@@ -157,4 +161,4 @@ def tokens(docs: DataFrame, codec: Codec) -> DataFrame:
                 text = pa.array([coder.decode(x).decode() for x in found], pa.string())
                 yield pa.record_batch({"doc_id": part["doc_id"], "ids": ids, "text": text})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, ids array<int>, text string")

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ._memory import released
 from ._shingles import U64, shingle_sets
 from ._stash import Stash
 
@@ -177,4 +178,4 @@ def _filtered(docs: DataFrame, index: Index, width: int) -> DataFrame:
             keep = [b == a or not shared.value.search(hashes[a:b]) for _, hashes, places in shingle_sets(batch["text"], width) for a, b in zip(places[:-1], places[1:], strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
+from ._memory import released
 from ._shingles import U64, shingle_sets
 from ._sketch import bands, sketch
 from ._stash import Stash
@@ -211,7 +212,7 @@ def _placed(docs: DataFrame, width: int, percent: int, t: int, rows: int, block:
     stash = Stash(docs.sparkSession, "near")
     base = docs.select("doc_id", "text", _content(F.col("text")).alias("content"))
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"
-    signed = stash.put(base.mapInArrow(_signatures(width, t, rows), f"{kind}, content long, n_shingles long, fp binary, bands array<long>"), "signed")
+    signed = stash.put(base.mapInArrow(released(_signatures(width, t, rows)), f"{kind}, content long, n_shingles long, fp binary, bands array<long>"), "signed")
 
     # Classes of equal sets, each with the place of one text.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "content"))
@@ -230,14 +231,14 @@ def _placed(docs: DataFrame, width: int, percent: int, t: int, rows: int, block:
     # The sets of bucket members, from the texts again.
     needed = members.select("fp").distinct().join(classes.select("fp", "doc_id", "content"), "fp")
     found = base.alias("d").join(needed.alias("n"), F.expr("d.content = n.content and d.doc_id <=> n.doc_id")).select("n.fp", "d.text")
-    sets = stash.put(found.mapInArrow(_sets(width), "fp binary, shingles binary").dropDuplicates(["fp"]), "sets")
+    sets = stash.put(found.mapInArrow(released(_sets(width)), "fp binary, shingles binary").dropDuplicates(["fp"]), "sets")
 
     def sides(pairs: DataFrame) -> DataFrame:
         one = sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a"))
         two = sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b"))
         return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b")
 
-    links = stash.put(sides(tries).mapInArrow(_verify(percent), "u binary, v binary"), "links")
+    links = stash.put(sides(tries).mapInArrow(released(_verify(percent)), "u binary, v binary"), "links")
     roots = components(links, stash, "stars")
 
     # What the stars left apart.

@@ -1,10 +1,13 @@
 import random
+import tracemalloc
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 
 import corpus_pipeline
-from quern.llm import byte_bpe, language_id
+from quern.llm import byte_bpe, language_id, near_dedup, registry
 from tests.llm.test_documents import shingles
 
 
@@ -101,3 +104,28 @@ def test_run_against_brute_force(spark, rows, tmp_path):
         assert len(found) == clean(group[0]) if len(group) == 1 else len(found) <= 1
         left -= set(found)
     assert not left
+
+
+def test_memory_of_the_stages_workers():
+    """A worker serves all stages: what one holds at its peak, and what encoding leaves behind, is bounded."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(1500)]
+    batch = pa.record_batch({"doc_id": list(range(1500)), "text": texts, "content": [0] * 1500})
+
+    def peak(run):
+        tracemalloc.start()
+        run()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / 1e6
+
+    model = language_id.Model(["a", "b", "c"], np.zeros((language_id.BUCKETS, 3), np.float32), np.zeros(3))
+    # In pieces of 4 MB or half a million characters both take about 40.
+    assert peak(lambda: [len(x) for x in near_dedup._signatures(5, 128, 4)([batch])]) < 20
+    assert peak(lambda: model.predict(texts)) < 20
+    made = []
+    codec = registry.byte_codec(corpus_pipeline.MEMO)
+    for at in range(0, 1500, 64):
+        made += codec.encode_all(texts[at : at + 64])
+        assert len(codec.memo) <= corpus_pipeline.MEMO
+    assert [codec.decode(x).decode() for x in made] == texts
